@@ -63,6 +63,13 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(other, cond, how).drop(*(f"r_{k}" for k in keys))
 
 
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with new columns that are computed once a row, however often later expressions use them: the optimizer doesn't
+    copy expressions through a generator."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def digits(col: str | Column) -> Column:
     """The runs of ASCII digits of a string, in order; null for null."""
     return F.regexp_extract_all(col, F.lit("[0-9]+"), F.lit(0))
