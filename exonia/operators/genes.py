@@ -97,16 +97,17 @@ def exon_phases(exons: Column, strand: Column) -> Column:
 def introns(exons: Column, strand: Column) -> Column:
     """(iidx, donor_pos, acceptor_pos, length, cds_offset, phase) of the introns in transcription order. phase is the offset
     modulo 3; the codon walk's phase 3 is 0 here."""
-    n, before = F.size(exons), length_before(exons, strand)
+    n, reverse = F.size(exons), strand == REVERSE
+    part = lambda a, first: F.slice(a, first, F.greatest(n - 1, F.lit(0)))
+    sides = F.zip_with(part(exons, F.lit(1)), part(exons, F.lit(2)), lambda x, y: F.struct(x["end"].alias("lo"), y["start"].alias("hi")))
+    offsets = part(length_before(exons, strand), F.when(reverse, 1).otherwise(2))
+    ascending = F.zip_with(sides, offsets, lambda x, o: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"), o.alias("offset")))
 
-    def one(k: Column) -> Column:
-        low = F.when(strand == REVERSE, n - 2 - k).otherwise(k)  # the exon below the intron
-        left, right = F.get(exons, low), F.get(exons, low + 1)
-        donor, acceptor = splice_sites(strand, left["end"], right["start"])
-        offset = F.when(strand == REVERSE, F.get(before, low)).otherwise(F.get(before, low + 1))
-        return F.struct(k.alias("iidx"), donor.alias("donor_pos"), acceptor.alias("acceptor_pos"), (right["start"] - left["end"]).alias("length"), offset.alias("cds_offset"), (offset % 3).alias("phase"))
+    def one(x: Column, k: Column) -> Column:
+        donor, acceptor = splice_sites(strand, x["lo"], x["hi"])
+        return F.struct(k.alias("iidx"), donor.alias("donor_pos"), acceptor.alias("acceptor_pos"), (x["hi"] - x["lo"]).alias("length"), x["offset"].alias("cds_offset"), (x["offset"] % 3).alias("phase"))
 
-    return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), one)).otherwise(F.expr("cast(array() as array<struct<iidx:int,donor_pos:int,acceptor_pos:int,length:int,cds_offset:int,phase:int>>)"))
+    return F.transform(F.when(reverse, F.reverse(ascending)).otherwise(ascending), one)
 
 
 def clipped(exons: Column, start: Column, end: Column) -> Column:
