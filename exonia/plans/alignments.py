@@ -1,9 +1,9 @@
-"""Queries on aligned proteins. Their genes are those of genepred; documents' sequences stand in for the coding sequences,
-that of doc_id = row_id for a protein's row."""
+"""Queries on aligned proteins. Their genes are those of genepred. The tables hold no coding sequences: a protein's is made
+from its residues, each by one of its codons, which differ between sequences with odd and even seq_idx."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from exonia.functions import seq as S
@@ -68,23 +68,44 @@ def usable_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("alignment").agg(F.max(alignment.shares_codon(F.col("offsets"))).alias("bad")).where("not bad").select("alignment")
 
 
+def codon_choices() -> dict[tuple[int, str], str]:
+    """A codon for each residue, the first of its codons (0) or the last (1)."""
+    code, out = S.code_by_index(), {}
+    for i, residue in enumerate(code):
+        codon = "".join(S.NUCLEOTIDES[i >> k & 3] for k in (4, 2, 0))
+        out.setdefault((0, residue), codon)
+        out[1, residue] = codon
+    return out
+
+
+def coding() -> Column:
+    """A protein's stand-in coding sequence; residues that stand for no codon give NNN."""
+    of = [F.create_map(*(F.lit(x) for (v, r), codon in codon_choices().items() if v == k for x in (r, codon))) for k in (0, 1)]
+    residues = F.filter(alignment.letters("residues"), lambda c: c != "-")
+    side = lambda k: F.array_join(F.transform(residues, lambda c: F.coalesce(F.try_element_at(of[k], c), F.lit("NNN"))), "")
+    return F.when(F.col("seq_idx") % 2 == 0, side(0)).otherwise(side(1))
+
+
 def with_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(alignment, organism, codons) of the proteins that have a stand-in coding sequence."""
-    s = SQ.sequences(spark, sf_dir).select(F.col("doc_id").alias("row_id"), F.col("seq").alias("coding"))
+    """(alignment, organism, codons) of the proteins."""
     m = members(spark, sf_dir).where("organism is not null and residues is not null")
-    # A protein without a stand-in sequence has no codons; its column shows gaps.
-    return alignment.aligned_codons(m.join(s, "row_id", "left")).select("alignment", "organism", "codons")
+    return alignment.aligned_codons(evaluated(m, coding=coding())).select("alignment", "organism", "codons")
 
 
 _ORGANISMS = 9
+CODING = f"""
+  choice AS (SELECT * FROM (VALUES {", ".join(f"({v}, '{r}', '{c}')" for (v, r), c in codon_choices().items())}) AS t(v, aa, codon)),
+  coding AS (
+    SELECT row_id, string_agg(coalesce(codon, 'NNN'), '' ORDER BY col) AS coding FROM (SELECT row_id, seq_idx, unnest(range(0, length(residues))) AS col, residues FROM member) r
+    LEFT JOIN choice c ON c.v = seq_idx % 2 AND c.aa = substr(residues, col + 1, 1) WHERE substr(residues, col + 1, 1) <> '-' GROUP BY row_id)"""
 _COLUMNS = f"""
-  WITH {MEMBER}, {SQ.SEQ},
+  WITH {MEMBER}, {SQ.SEQ}, {CODING},
   cm AS (SELECT * FROM member WHERE org IS NOT NULL AND residues IS NOT NULL),
   per AS (SELECT alignment, org, count(*) AS k FROM cm GROUP BY ALL),
   fit AS (SELECT alignment FROM per GROUP BY alignment HAVING count(*) = {_ORGANISMS} AND max(k) = 1),
   cr AS (SELECT row_id, alignment, org, col, substr(residues, col + 1, 1) AS ch FROM (SELECT *, unnest(range(0, length(residues))) AS col FROM cm WHERE alignment IN (SELECT alignment FROM fit))),
   rr AS (SELECT *, regexp_matches(ch, '^[ABCDEFGHIKLMNPQRSTVWXYZ*]$') AS reg, sum(CASE WHEN regexp_matches(ch, '^[ABCDEFGHIKLMNPQRSTVWXYZ*]$') THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY col) - 1 AS r FROM cr),
-  cd0 AS (SELECT rr.alignment, rr.org, rr.col, CASE WHEN reg THEN substr(coalesce(s.seq, ''), (3 * r + 1)::BIGINT, 3) ELSE '' END AS codon FROM rr LEFT JOIN seq s ON s.doc_id = rr.row_id),
+  cd0 AS (SELECT rr.alignment, rr.org, rr.col, CASE WHEN reg THEN substr(coalesce(s.coding, ''), (3 * r + 1)::BIGINT, 3) ELSE '' END AS codon FROM rr LEFT JOIN coding s ON s.row_id = rr.row_id),
   cd AS (SELECT alignment, org, col, CASE WHEN length(codon) = 3 AND NOT contains(codon, 'N') THEN {SQ.index("codon", 3)} END AS idx FROM cd0),
   ac AS (SELECT alignment, col, string_agg(CASE WHEN idx IS NULL THEN '!' ELSE chr((34 + idx)::INT) END, '' ORDER BY org) AS code FROM cd GROUP BY ALL),
   cc AS (SELECT code, count(*) AS n FROM ac GROUP BY code)"""
