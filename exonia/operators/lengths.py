@@ -54,7 +54,7 @@ def fit(length: np.ndarray, n: np.ndarray) -> dict[str, float]:
 
 def fitted(histogram: DataFrame, organism: str = "organism", value: str = "value", n: str = "n") -> DataFrame:
     """(organism, weight, rate, fail, shift, log_likelihood) of a histogram of intron lengths. Organisms without introns have
-    no row; one whose lengths are all 0 has NaN parameters."""
+    no row; one whose lengths are all 0 has null parameters."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         got = fit(pdf["value"].to_numpy(), pdf["n"].to_numpy())

@@ -68,12 +68,12 @@ def genomes(spark: SparkSession, spec: str) -> DataFrame:
 def proteins(spark: SparkSession, path: str) -> DataFrame:
     """(alignment, seq_id, organism, defline, residues) of alignment files, one file an alignment, named by the file."""
     file = F.input_file_name()
-    raw = spark.read.option("wholetext", True).text(local_path(spark, path)).select(S.alignment_name(file).alias("alignment"), "value")
+    raw = spark.read.text(local_path(spark, path), wholetext=True).select(S.alignment_name(file).alias("alignment"), "value")
     parts = F.filter(F.split(F.concat(F.lit("\n"), F.regexp_replace("value", "\r", "")), "\n>"), lambda x: F.trim(x, F.lit(" \t\n")) != "")
     rows = raw.select("alignment", F.posexplode(parts).alias("seq_idx", "part"))
     # What stands before the first record is a comment.
     rows = rows.where(~F.col("part").startswith("\n;"))
     lines = F.split("part", "\n")
-    body = F.array_join(F.filter(F.transform(F.slice(lines, F.lit(2), F.size(lines)), F.trim), lambda x: (x != "") & ~x.startswith(";")), "")
+    body = F.array_join(F.filter(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith(";")), "")
     defline = F.trim(F.get(lines, 0))
     return rows.select("alignment", "seq_idx", S.ident(defline).alias("seq_id"), S.tag(defline, "organism").alias("organism"), defline.alias("defline"), body.alias("residues"))

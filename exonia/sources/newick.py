@@ -100,7 +100,7 @@ def edges(root: Node) -> list[tuple[int, str | None, str | None, float | None, i
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The edges of all trees of a file; trees are small and are read by the driver."""
-    text = "".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     rows = [(k, *e) for k, root in enumerate(trees(text)) for e in edges(root)]
     return spark.createDataFrame(rows, SCHEMA)
 
