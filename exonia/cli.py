@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from exonia.functions import seq as S
 from exonia.operators import alignment, counting, genes, homology, lengths, parsimony, scoring
 from exonia.session import build_session, evaluated
-from exonia.sources import fasta, model_text, newick, text_lines
+from exonia.sources import fasta, model_text, newick, report_lines, text_lines
 
 #: Identifier key of each dialect.
 GFF_KEYS = {"gff3": "ID", "gtf": "transcript_id", "jgi": "proteinId"}
@@ -91,8 +91,8 @@ def statistics(spark: SparkSession, models: DataFrame, aligned: DataFrame) -> di
     columns = alignment.codon_columns(alignment.complete(alignment.aligned_codons(cut(aligned)).select("alignment", "organism", "codons"), len(organisms)))
     tables: dict[str, list[DataFrame]] = {"motifs": [], "edges": [], "codons": []}
     for donor, site in ((True, "donor"), (False, "acceptor")):
-        real, null = counting.site_texts(rows, donor), counting.null_site_texts(rows, donor)
-        for kind, motif, edge in (("real", counting.motif_counts(real), counting.edge_counts(real)), ("null", counting.null_motif_counts(null), counting.null_edge_counts(null))):
+        real = counting.site_texts(rows, donor)
+        for kind, motif, edge in (("real", counting.motif_counts(real), counting.edge_counts(real)), ("null", counting.null_motif_counts(rows, donor), counting.null_edge_counts(rows, donor))):
             name = {"site": F.lit(site), "kind": F.lit(kind)}
             tables["motifs"].append(motif.withColumns(name))
             tables["edges"].append(edge.withColumns(name))
@@ -155,6 +155,10 @@ def check_sites(spark: SparkSession, a: argparse.Namespace) -> None:
     scores = scores_of(load_model(spark, a.model))
     for what in ("contexts", "nodes", "edits"):
         homology.reconstructed(rows, scores, tree, what, p).write.mode("overwrite").parquet(f"{a.out}/{what}")
+    nodes, edits = (spark.read.parquet(f"{a.out}/{what}") for what in ("nodes", "edits"))
+    header = spark.createDataFrame([(report_lines.ancestral_header(tree),)], "value string")
+    lines = header.unionByName(report_lines.ancestral_lines(nodes, tree)).unionByName(report_lines.history_lines(nodes)).unionByName(report_lines.edit_lines(edits))
+    lines.write.mode("overwrite").text(f"{a.out}/report")
     if a.save:
         save_edited(spark, spark.read.parquet(f"{a.out}/edits"), aligned, a.save)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from exonia.functions.seq import NUCLEOTIDES, base4, codon_index, reverse_complement
 from exonia.operators import genes
+from exonia.session import evaluated
 
 #: The default lengths (intronic motif, boundary behind it) of donor and acceptor sites.
 DONOR_SIZE, ACCEPTOR_SIZE = (4, 2), (3, 15)
@@ -98,29 +99,43 @@ def edge_counts(texts: DataFrame) -> DataFrame:
     return known.groupBy("organism", "place", "nuc").agg(F.sum("n").alias("n")).select("organism", "place", (F.instr(F.lit(NUCLEOTIDES), F.col("nuc")) - 1).alias("nuc_idx"), "n")
 
 
-def windows(s: Column, k: int, count: Column) -> Column:
-    """The first `count` windows of length k; a slice of BINARY doesn't walk the text before it."""
-    b = F.to_binary(s, F.lit("utf-8"))
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(b, i, F.lit(k)).cast("string"))).otherwise(F.expr("cast(array() as array<string>)"))
+def windows(rows: DataFrame, s: Column, k: int, dropped: int = 0) -> DataFrame:
+    """rows with `_w`, a row for each window of length k of the sequence s but the last `dropped` ones; sequences that are
+    too short and nulls give none. The sequence is made BINARY once, as a slice of that doesn't walk what is before it."""
+    bytes_once = evaluated(rows, _b=F.to_binary(s, F.lit("utf-8")))
+    count = F.length("_b") - k + 1 - dropped
+    each = F.transform(F.sequence(F.lit(1), count), lambda i: F.substring("_b", i, F.lit(k)))
+    return bytes_once.where(count > 0).select(*(c for c in rows.columns), F.explode(each).alias("_w")).withColumn("_w", F.col("_w").cast("string"))
 
 
-def null_site_texts(models: DataFrame, donor: bool, size: tuple[int, int] | None = None, seq: str = "seq") -> DataFrame:
-    """(organism, motif, edge) of the windows of coding sequences (of their reverse complements for acceptors), all but the
-    last: what sites look like where there are none."""
-    m, b = size or (DONOR_SIZE if donor else ACCEPTOR_SIZE)
+def _null_texts(models: DataFrame, donor: bool, seq: str) -> DataFrame:
+    """(organism, _s): coding sequences, for acceptors their reverse complements."""
     coding = genes.cds(F.col(seq), F.col("exons"), F.col("strand"))
-    s = coding if donor else reverse_complement(coding)
-    rows = models.select("organism", s.alias("_s")).select("organism", F.explode(windows(F.col("_s"), m + b, F.length("_s") - m - b)).alias("_w"))
-    return rows.groupBy("organism", "_w").agg(F.count("*").alias("_n")).select("organism", F.left("_w", F.lit(m)).alias("motif"), F.right("_w", F.lit(b)).alias("edge"), "_n")
+    return evaluated(models.select("organism", seq, "exons", "strand"), _s=coding if donor else reverse_complement(coding)).select("organism", "_s")
 
 
-def null_motif_counts(texts: DataFrame) -> DataFrame:
-    return texts.groupBy("organism", F.coalesce(base4("motif"), F.lit(-1)).alias("motif_idx")).agg(F.sum("_n").alias("n"))
+def null_motif_counts(models: DataFrame, donor: bool, size: tuple[int, int] | None = None, seq: str = "seq") -> DataFrame:
+    """As motif_counts, over all windows of motif and boundary but the last of the coding sequences (of their reverse
+    complements for acceptors): what sites look like where there are none."""
+    m, b = size or (DONOR_SIZE if donor else ACCEPTOR_SIZE)
+    each = windows(_null_texts(models, donor, seq), F.col("_s"), m, b + 1)
+    return motif_counts(each.select("organism", F.col("_w").alias("motif")))
 
 
-def null_edge_counts(texts: DataFrame) -> DataFrame:
-    each = texts.select("organism", "_n", F.posexplode(F.split("edge", "")).alias("place", "nuc")).where(F.col("nuc").isin(*NUCLEOTIDES))
-    return each.groupBy("organism", "place", "nuc").agg(F.sum("_n").alias("n")).select("organism", "place", (F.instr(F.lit(NUCLEOTIDES), F.col("nuc")) - 1).alias("nuc_idx"), "n")
+def null_edge_counts(models: DataFrame, donor: bool, size: tuple[int, int] | None = None, seq: str = "seq") -> DataFrame:
+    """As edge_counts, over the same windows. What all windows have at one place is one slice of the sequence, whose
+    nucleotides are counted at once."""
+    m, b = size or (DONOR_SIZE if donor else ACCEPTOR_SIZE)
+    rows = evaluated(_null_texts(models, donor, seq), _b=F.to_binary("_s", F.lit("utf-8")))
+    n = F.length("_b") - m - b
+    for place in range(b):
+        rows = evaluated(rows, **{f"_p{place}": F.substring("_b", F.lit(m + place + 1), n).cast("string")})
+    each = [
+        F.struct(F.lit(place).alias("place"), F.lit(k).alias("nuc_idx"), (F.length(f"_p{place}") - F.length(F.replace(f"_p{place}", F.lit(nuc), F.lit("")))).alias("n"))
+        for place in range(b)
+        for k, nuc in enumerate(NUCLEOTIDES)
+    ]
+    return rows.where(n > 0).select("organism", F.inline(F.array(*each))).where("n > 0").groupBy("organism", "place", "nuc_idx").agg(F.sum("n").alias("n"))
 
 
 def kmer_counts(rows: DataFrame, seq: str, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -128,7 +143,7 @@ def kmer_counts(rows: DataFrame, seq: str, k: int, keys: tuple[str, ...] = ()) -
     complement; shorter sequences and nulls give none."""
     if not 1 <= k <= 31:
         raise ValueError("k is 1 to 31")
-    each = rows.select(*keys, F.explode(windows(F.col(seq).cast("string"), k, F.length(F.col(seq).cast("string")) - k + 1)).alias("_w"))
+    each = windows(rows.select(*keys, F.col(seq).cast("string").alias("_s")), F.col("_s"), k)
     counted = each.groupBy(*keys, "_w").agg(F.count("*").alias("n")).where(F.col("_w").rlike(CLEAN))
     long = lambda s: F.conv(F.translate(s, NUCLEOTIDES, "0123"), 4, 10).cast("bigint")
     return counted.select(*keys, long(F.col("_w")).alias("kmer_idx"), long(reverse_complement(F.col("_w"))).alias("reverse_idx"), "n")

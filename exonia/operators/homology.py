@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 
 from exonia.operators import parsimony
 from exonia.operators.scoring import NEVER, generic_scores
+from exonia.session import cores
 
 #: An anchor must score more than so many times the expected score of a codon pair.
 ANCHOR = 4
 COMPLEMENT = str.maketrans("ACGTRYKMBVDH", "TGCAYRMKVBHD")
 BASES = {"A": 0, "G": 1, "C": 2, "T": 3}
+CODON_INDEX = {a + b + c: 16 * BASES[a] + 4 * BASES[b] + BASES[c] for a in BASES for b in BASES for c in BASES}
 
 
 @dataclass
@@ -59,22 +61,28 @@ class Member:
 def walk(residues: str, exons: list[tuple[int, int]], strand: str, dna: str, origin: int, organism: str) -> Member:
     """Puts a gene's codons and introns into the columns of its aligned protein: every residue takes the next 3 bases."""
     order = exons if strand != "-" else exons[::-1]
-    coding = [p for s, e in order for p in (range(s, e) if strand != "-" else range(e - 1, s - 1, -1))]
-    lengths = np.cumsum([e - s for s, e in order])[:-1]
-    last_base = {int(n) - 1 for n in lengths if n > 0}
     me = Member(organism, strand, exons, dna, origin, [], [], [])
-    at = 0
+    bases = "".join(me.read(s if strand != "-" else e - 1, e - s) or "N" * (e - s) for s, e in order if e > s)
+    ends = np.cumsum([e - s for s, e in order])
+    last_base = {int(n) - 1 for n in ends[:-1] if n > 0}
+    codons = sum(c != "-" for c in residues)
+    # The exon that holds each codon's first base, and so that base's position.
+    first = 3 * np.arange(codons)
+    exon = np.searchsorted(ends, first, "right")
+    inside = exon < len(order)
+    exon = np.minimum(exon, len(order) - 1)
+    into = first - np.append(0, ends[:-1])[exon]
+    low, high = np.array(order, dtype=np.int64).T
+    places = np.where(strand == "-", high[exon] - 1 - into, low[exon] + into)
+    k = 0
     for c in residues:
         if c == "-":
             me.position.append(None), me.codon.append(None), me.phase.append(0)
             continue
-        bases = coding[at : at + 3]
-        text = [me.read(p, 1) for p in bases]
-        index = [BASES.get(b or "N") for b in text]
-        me.position.append(bases[0] if bases else None)
-        me.codon.append(16 * index[0] + 4 * index[1] + index[2] if len(index) == 3 and None not in index else None)
-        me.phase.append(next((k + 1 for k in range(len(bases)) if at + k in last_base), 0))
-        at += 3
+        me.position.append(int(places[k]) if inside[k] else None)
+        me.codon.append(CODON_INDEX.get(bases[3 * k : 3 * k + 3]))
+        me.phase.append(next((j + 1 for j in range(3) if 3 * k + j in last_base), 0))
+        k += 1
     return me
 
 
@@ -467,4 +475,5 @@ def reconstructed(sequences: DataFrame, scores: Scores, tree: list[tuple[str, st
         return frame.astype({c.split(" ")[0]: "Int32" for c in schema.split(", ") if c.endswith(" int")})
 
     schema = {"contexts": CONTEXTS, "nodes": NODES, "edits": EDITS}[what]
-    return once.groupBy("alignment").applyInPandas(work, schema)
+    # The work is heavy for its size; as many partitions as there are cores, not as few as the bytes would need.
+    return once.repartition(cores(once.sparkSession), "alignment").groupBy("alignment").applyInPandas(work, schema)

@@ -12,7 +12,8 @@ from exonia.operators import genes, homology, scoring, trees
 from exonia.plans import alignments as AL
 from exonia.plans import sequences as SQ
 from exonia.plans.views import models
-from exonia.session import evaluated, table
+from exonia.session import evaluated, stored, table
+from exonia.sources import report_lines
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -93,3 +94,11 @@ def event_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each kind of event occurs on each branch."""
     kind = F.regexp_replace("event", r"\(\d+\)", "")
     return ancestral_states(spark, sf_dir).groupBy("node", kind.alias("event")).agg(F.count("*").alias("n"))
+
+
+@query
+def history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7, K8: ancestral and history lines."""
+    tree = trees.collected(table(spark, sf_dir, "phylo_edge"))
+    nodes = stored(ancestral_states(spark, sf_dir), "nodes")
+    return report_lines.ancestral_lines(nodes, tree).unionByName(report_lines.history_lines(nodes))

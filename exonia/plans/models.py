@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exonia.operators import genes
+from exonia.functions import special
+from exonia.operators import genes, lengths
 from exonia.plans.general import _pieces
 from exonia.plans.views import EXON, INTRON, models
 from exonia.session import digits, evaluated, table
-from exonia.sources import text_lines
+from exonia.sources import report_lines, text_lines
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -292,3 +293,23 @@ def list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed exon lists as arrays."""
     t = table(spark, sf_dir, "genepred").where("exonstarts is not null")
     return t.groupBy("organism").agg(F.sum(F.size(digits("exonstarts"))).alias("starts"), F.count("*").alias("lists"))
+
+
+@query(_HISTOGRAM + " SELECT organism, concat_ws(chr(9), '#' || upper(kind), value::VARCHAR, n::VARCHAR) AS value FROM h")
+def histogram_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K13"""
+    return report_lines.histogram_lines(length_histograms(spark, sf_dir))
+
+
+@query(_HISTOGRAM + " SELECT DISTINCT value::INT AS value, round(lgamma(value + 1), 6) AS log_factorial, round(value * ln(60) - 60 - lgamma(value + 1), 6) AS poisson FROM h WHERE kind = 'intron_length'")
+def length_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Special functions of every intron length."""
+    v = length_histograms(spark, sf_dir).where("kind = 'intron_length'").select("value").distinct()
+    x = F.col("value").cast("double")
+    return v.select("value", F.round(special.column(special.factln, x), 6).alias("log_factorial"), F.round(special.column(special.poisson_ln, F.lit(60.0), x), 6).alias("poisson"))
+
+
+@query()
+def intron_length_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each organism's mixture, fitted to its histogram."""
+    return lengths.fitted(length_histograms(spark, sf_dir).where("kind = 'intron_length'"))

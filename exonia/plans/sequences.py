@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from exonia.functions import seq as S
 from exonia.operators import counting, genes, scoring
-from exonia.session import table
-from exonia.sources import text_lines
+from exonia.session import spread, table
+from exonia.sources import report_lines, text_lines
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -33,7 +33,7 @@ SPACING = 90
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, seq)"""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").isNotNull()))
     return docs.select("doc_id", F.regexp_replace(F.translate("text", _FROM, LETTERS * 2), "[^ACGTN]", "").alias("seq"))
 
 
@@ -197,7 +197,7 @@ def boundary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def null_motif_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9"""
     g = carried(spark, sf_dir)
-    side = lambda donor: counting.null_motif_counts(counting.null_site_texts(g, donor)).select(F.lit("donor" if donor else "acceptor").alias("site"), "organism", "motif_idx", "n")
+    side = lambda donor: counting.null_motif_counts(g, donor).select(F.lit("donor" if donor else "acceptor").alias("site"), "organism", "motif_idx", "n")
     return side(True).unionByName(side(False))
 
 
@@ -218,9 +218,9 @@ def null_motif_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def donor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: every donor site under its organism's model."""
     g = carried(spark, sf_dir)
-    texts, nothing = counting.site_texts(g, True), counting.null_site_texts(g, True)
-    motifs = scoring.score_table(counting.motif_counts(texts).where("motif_idx >= 0"), counting.null_motif_counts(nothing), ["organism"], "motif_idx", 256)
-    edges = scoring.score_table(counting.edge_counts(texts), counting.null_edge_counts(nothing), ["organism", "place"], "nuc_idx", 4)
+    texts = counting.site_texts(g, True)
+    motifs = scoring.score_table(counting.motif_counts(texts).where("motif_idx >= 0"), counting.null_motif_counts(g, True), ["organism"], "motif_idx", 256)
+    edges = scoring.score_table(counting.edge_counts(texts), counting.null_edge_counts(g, True), ["organism", "place"], "nuc_idx", 4)
     at = F.transform(genes.introns(F.col("exons"), F.col("strand")), lambda i: i["donor_pos"])
     forward = ~genes.is_reverse()
     rows = g.select("doc_id", "organism", "seq", forward.alias("_fw"), F.posexplode(at).alias("_k", "_at"), F.size("exons").alias("_n"))
@@ -289,3 +289,29 @@ def codon_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_codons = seen.withColumn("codon_b", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumnRenamed("codon_idx", "codon_a")
     pairs = all_codons.join(seen.withColumnRenamed("codon_idx", "codon_b"), "codon_b", "left_semi")
     return pairs.select("codon_a", "codon_b", S.codon_distance(F.col("codon_a"), F.col("codon_b")).alias("distance"))
+
+
+@query(_CODONS + f""", g AS (SELECT organism, codon_idx, sum(CASE WHEN class = 'first' THEN n ELSE 0 END)::BIGINT AS a, sum(CASE WHEN class = 'middle' THEN n ELSE 0 END)::BIGINT AS b, sum(CASE WHEN class = 'last' THEN n ELSE 0 END)::BIGINT AS c FROM counts GROUP BY ALL)
+  SELECT organism, concat_ws(chr(9), substr('AGCT', codon_idx // 16 + 1, 1) || substr('AGCT', codon_idx // 4 % 4 + 1, 1) || substr('AGCT', codon_idx % 4 + 1, 1) || '/' || substr('{S.code_by_index()}', codon_idx + 1, 1), a::VARCHAR, b::VARCHAR, c::VARCHAR) AS value FROM g""")
+def codon_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K12"""
+    return report_lines.codon_lines(codon_counts(spark, sf_dir))
+
+
+@query(f"WITH {GENE} SELECT doc_id, i::INT AS nth, CASE WHEN length(iseq) > 24 THEN left(iseq, 12) || '...' || right(iseq, 12) ELSE iseq END AS text FROM dintron")
+def intron_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Introns with their middle left out."""
+    i = carried(spark, sf_dir).select("doc_id", F.posexplode(genes.intron_sequences(F.col("seq"), F.col("exons"), F.col("strand"))).alias("nth", "s"))
+    return i.select("doc_id", "nth", report_lines.elided(F.col("s"), 12).alias("text"))
+
+
+@query(_SCORES + " SELECT organism, class, codon_idx, round(ln(((n1 + 1)::DOUBLE / (t1 + 64)) / ((n0 + 1)::DOUBLE / (t0 + 64))), 6) AS ratio, round(ln(n1 + 1 + n0 + 2), 6) AS log_sum FROM sc")
+def laplace_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2, M4"""
+    from pyspark.sql import Window
+
+    per = Window.partitionBy("organism", "class")
+    n1, n0 = F.col("n1"), F.col("n0")
+    return codon_scores(spark, sf_dir).select(
+        "organism", "class", "codon_idx", F.round(scoring.laplace_ratio(n1, n0, F.sum("n1").over(per), F.sum("n0").over(per), 64), 6).alias("ratio"), F.round(scoring.log_add(F.ln(n1 + 1), F.ln(n0 + 2)), 6).alias("log_sum")
+    )

@@ -83,7 +83,7 @@ def test_strand_symmetry(spark):
     turned = seq.translate(str.maketrans("ACGT", "TGCA"))[::-1]
     a = model(spark, exons, "+", seq)
     b = model(spark, [(n - e, n - s) for s, e in exons[::-1]], "-", turned)
-    for f in (counting.codon_counts, counting.null_codon_counts, lambda m: counting.motif_counts(counting.site_texts(m, True)), lambda m: counting.edge_counts(counting.site_texts(m, False)), lambda m: counting.null_motif_counts(counting.null_site_texts(m, False)), genes.length_histograms, genes.phase_transitions):
+    for f in (counting.codon_counts, counting.null_codon_counts, lambda m: counting.motif_counts(counting.site_texts(m, True)), lambda m: counting.edge_counts(counting.site_texts(m, False)), lambda m: counting.null_motif_counts(m, False), lambda m: counting.null_edge_counts(m, False), lambda m: counting.null_edge_counts(m, True), genes.length_histograms, genes.phase_transitions):
         assert sorted(map(tuple, f(a).collect())) == sorted(map(tuple, f(b).collect()))
 
 
