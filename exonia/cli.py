@@ -87,8 +87,9 @@ def statistics(spark: SparkSession, models: DataFrame, aligned: DataFrame) -> di
     """The tables of a statistics model; models with `dna` and `local`."""
     rows = models.select("organism", "strand", F.col("local").alias("exons"), F.col("dna").alias("seq"))
     organisms = [r.organism for r in models.select("organism").distinct().orderBy("organism").limit(1000).collect()]
-    cut = lambda t: aligned.select("alignment", "organism", "residues", genes.cds(F.col("dna"), F.col("local"), F.col("strand")).alias("coding"))
-    columns = alignment.codon_columns(alignment.complete(alignment.aligned_codons(cut(aligned)).select("alignment", "organism", "codons"), len(organisms)))
+    cut = lambda rows: evaluated(rows, coding=genes.cds(F.col("dna"), F.col("local"), F.col("strand")))
+    codons = lambda rows: alignment.aligned_codons(cut(rows)).select("alignment", "organism", "codons")
+    columns = alignment.codon_columns(alignment.complete(aligned.where("residues is not null"), len(organisms), codons))
     tables: dict[str, list[DataFrame]] = {"motifs": [], "edges": [], "codons": []}
     for donor, site in ((True, "donor"), (False, "acceptor")):
         real = counting.site_texts(rows, donor)

@@ -5,6 +5,8 @@ shuffled, and counted things after that."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,25 +46,23 @@ def shares_codon(offsets: Column) -> Column:
 def aligned_codons(sequences: DataFrame, residues: str = "residues", coding: str = "coding") -> DataFrame:
     """sequences with `codons`: the codon index of each column, null for gaps, unknown residues (which take no codon here),
     ambiguous codons and where the coding sequence has ended or is null."""
-    rows = evaluated(sequences, _triplets=F.transform(F.regexp_extract_all(F.coalesce(coding, F.lit("")), F.lit("(.{3})"), F.lit(1)), codon_index))
-    # The number of regular residues before each column, as one pass over the columns.
-    ranks = F.aggregate(
-        letters(residues),
-        F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("at")),
-        lambda acc, c: F.struct((acc["n"] + is_regular(c).cast("int")).alias("n"), F.concat(acc["at"], F.array(F.when(is_regular(c), acc["n"]))).alias("at")),
-        lambda acc: acc["at"],
-    )
-    return evaluated(rows, codons=F.transform(ranks, lambda r: F.get("_triplets", r))).drop("_triplets")
-
-
-def complete(sequences: DataFrame, organisms: int) -> DataFrame:
+    triplets = F.transform(F.regexp_extract_all(F.coalesce(coding, F.lit("")), F.lit("(.{3})"), F.lit(1)), codon_index)
+    rows = evaluated(sequences, _triplets=triplets, _taken=positions_where(letters(residues), is_regular))
+    # The place of a column among those that take a codon is its codon's number; get() gives null for the others' -1.
+    columns = F.transform(letters(residues), lambda c, i: F.get("_triplets", F.array_position("_taken", i) - 1))
+    return evaluated(rows, codons=columns).drop("_triplets", "_taken")
+
+
+def complete(sequences: DataFrame, organisms: int, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """(alignment, rows) of the alignments with exactly one sequence for each of so many organisms; rows are structs of the
     sequence's other columns, ordered by organism. A second sequence of an organism rules an alignment out before
-    anything is gathered, so that no more than `organisms` rows come together."""
-    per = sequences.where(F.col("organism").isNotNull()).groupBy("alignment", "organism").agg(F.count("*").alias("_n"))
+    anything is gathered, so that no more than `organisms` rows come together. prepare: what is made of the sequences
+    that are left, before they are gathered."""
+    known = sequences.where(F.col("organism").isNotNull())
+    per = known.groupBy("alignment", "organism").agg(F.count("*").alias("_n"))
     fit = per.groupBy("alignment").agg(F.count("*").alias("_o"), F.max("_n").alias("_m")).where((F.col("_o") == organisms) & (F.col("_m") == 1)).select("alignment")
-    rest = [c for c in sequences.columns if c not in ("alignment", "organism")]
-    kept = sequences.where(F.col("organism").isNotNull()).join(fit, "alignment", "left_semi")
+    kept = prepare(known.join(fit, "alignment", "left_semi"))
+    rest = [c for c in kept.columns if c not in ("alignment", "organism")]
     return kept.groupBy("alignment").agg(F.array_sort(F.collect_list(F.struct("organism", *rest))).alias("rows"))
 
 

@@ -88,10 +88,9 @@ def coding() -> Column:
     return F.when(F.col("seq_idx") % 2 == 0, side(0)).otherwise(side(1))
 
 
-def with_codons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(alignment, organism, codons) of the proteins."""
-    m = members(spark, sf_dir).where("organism is not null and residues is not null")
-    return alignment.aligned_codons(evaluated(m, coding=coding())).select("alignment", "organism", "codons")
+def with_codons(rows: DataFrame) -> DataFrame:
+    """(alignment, organism, codons) of members."""
+    return alignment.aligned_codons(evaluated(rows, coding=coding())).select("alignment", "organism", "codons")
 
 
 _ORGANISMS = 9
@@ -116,7 +115,8 @@ _COLUMNS = f"""
 @query(_COLUMNS + " SELECT code, n FROM cc")
 def codon_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The multiset of codon columns of complete alignments."""
-    return alignment.codon_columns(alignment.complete(with_codons(spark, sf_dir), _ORGANISMS))
+    m = members(spark, sf_dir).where("organism is not null and residues is not null")
+    return alignment.codon_columns(alignment.complete(m, _ORGANISMS, with_codons))
 
 
 def organism_names(spark: SparkSession, sf_dir: str) -> list[str]:
