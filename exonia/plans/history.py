@@ -54,10 +54,11 @@ def scores_of(spark: SparkSession, sf_dir: str) -> homology.Scores:
         raise ValueError("scores of more than 64 organisms aren't sent to tasks")
     subst = np.full((len(names), len(names), 64, 64), scoring.NEVER, np.int64)
     expected = np.zeros((len(names), len(names)))
-    rows = AL._substitutions(spark, sf_dir).groupBy("org_a", "org_b").agg(F.first("expected").alias("expected"), F.array_sort(F.collect_list(F.struct("codon_a", "codon_b", "score"))).alias("s"))
+    ordered = F.array_sort(F.collect_list(F.struct("codon_a", "codon_b", "score")))
+    rows = AL._substitutions(spark, sf_dir).groupBy("org_a", "org_b").agg(F.first("expected").alias("expected"), F.transform(ordered, lambda x: x["score"]).alias("scores"))
     for r in rows.collect():
         at = index[r.org_a], index[r.org_b]
-        subst[at] = np.array([x.score for x in r.s]).reshape(64, 64)
+        subst[at] = np.array(r.scores).reshape(64, 64)
         expected[at] = r.expected or 0.0
     middle = np.zeros((len(names), 64), np.int64)
     for r in SQ.codon_scores(spark, sf_dir).where("class = 'middle'").collect():
