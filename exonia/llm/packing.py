@@ -2,7 +2,8 @@
 
 Method: swap-based local search. Items are spread evenly over groups of a set size; in each, from a best-fit start, items
 are moved or exchanged one for one and two for one between underfull containers wherever that increases the sum of squared
-fills, so that full containers fill up and others run empty, until no such exchange is left."""
+fills, so that full containers fill up and others run empty, until no such exchange is left or no fewer containers could
+hold the group's items. Rounds over the nearest candidates go first; a search of all exchanges decides that none is left."""
 
 from __future__ import annotations
 
@@ -17,8 +18,9 @@ from exonia.llm.sizes import token_sizes
 
 #: Items packed in one task; with more of them the part of a container that a group leaves unused matters less.
 GROUP_ITEMS = 16_384
-#: Items of one container of which pairs are exchanged, the rest goes one by one; and rounds of exchanges at most.
-PAIRED, ROUNDS = 24, 400
+#: What a quick round looks at: pairs of the largest items of a container, and the nearest units for each unit. They set how
+#: fast the search is, not where it ends.
+PAIRED, NEAREST = 24, 6
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -43,18 +45,17 @@ def improve(sizes: np.ndarray, box: np.ndarray, capacity: int) -> np.ndarray:
     """The local search; returns the items' containers. Every exchange increases the sum of squared fills, so it ends."""
     box = box.copy()
     least = -(-int(sizes.sum()) // capacity)
-    for _ in range(ROUNDS):
+    while True:
         fill = np.bincount(box, sizes, minlength=int(box.max()) + 1).astype(np.int64)
         if np.count_nonzero(fill) <= least:
             break
-        moved = _round(sizes, box, fill, capacity)
-        if not moved:
+        if not _round(sizes, box, fill, capacity) and not _whole_round(sizes, box, fill, capacity):
             break
     return box
 
 
 def _round(sizes: np.ndarray, box: np.ndarray, fill: np.ndarray, capacity: int) -> int:
-    """The best exchanges, each container in one of them at most; changes box."""
+    """The best exchanges among the nearest candidates, each container in one of them at most; changes box."""
     at = np.flatnonzero(fill[box] < capacity)
     at = at[np.lexsort((-sizes[at], box[at]))]
     owner, size = box[at], sizes[at]
@@ -74,13 +75,69 @@ def _round(sizes: np.ndarray, box: np.ndarray, fill: np.ndarray, capacity: int)
     # For each unit the largest one elsewhere that fits in its place, if that makes the sum of squares larger.
     k = np.searchsorted(total, total + (capacity - fill[own]), "right") - 1
     best, gain = np.full(len(units), -1), np.zeros(len(units), np.int64)
-    for _ in range(6):
+    for _ in range(NEAREST):
         other = own[k]
         more = total[k] - total
         g = np.where((other != own) & (more > 0), 2 * more * (fill[own] - fill[other] + more), 0)
         better = g > gain
         best[better], gain[better] = k[better], g[better]
         k = np.maximum(k - 1, 0)
+    return _exchange(box, units, best, gain)
+
+
+def _whole_round(sizes: np.ndarray, box: np.ndarray, fill: np.ndarray, capacity: int) -> int:
+    """As _round, with every exchange considered: 0 only if none is left.
+
+    Units of one container and total are the same to an exchange, so one stands for all; a container of d sizes has at most
+    d * d / 2 + 2 * d + 1 of them, and no more than its fill + 1. Of the units of one total the one in the emptiest container
+    gains most, and the next one serves that container itself."""
+    at = np.flatnonzero(fill[box] < capacity)
+    at = at[np.lexsort((-sizes[at], box[at]))]
+    owner, size = box[at], sizes[at]
+    if not len(at) or owner[0] == owner[-1]:
+        return 0
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    bins = owner[first]
+    kept = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(size, prepend=-1) != 0))
+    twice = kept[np.diff(kept, append=len(at)) > 1]
+    unit = [
+        np.column_stack([bins, 0 * bins, 0 * bins - 1, 0 * bins - 1]),
+        np.column_stack([owner[kept], size[kept], at[kept], 0 * kept - 1]),
+        np.column_stack([owner[twice], 2 * size[twice], at[twice], at[twice + 1]]),
+    ]
+    step = 1
+    while len(a := np.flatnonzero(owner[kept[step:]] == owner[kept[: len(kept) - step]])):
+        a, b = kept[a], kept[a + step]
+        unit.append(np.column_stack([owner[a], size[a] + size[b], at[a], at[b]]))
+        step += 1
+    units = np.concatenate(unit)
+    units = units[np.lexsort((units[:, 0], fill[units[:, 0]], units[:, 1]))]
+    units = units[(np.diff(units[:, 0], prepend=-1) != 0) | (np.diff(units[:, 1], prepend=-1) != 0)]
+    own, total = units[:, 0], units[:, 1]
+    start = np.flatnonzero(np.diff(total, prepend=-1))
+    second = np.where(np.diff(start, append=len(total)) > 1, start + 1, start)
+    totals = total[start]
+    low, lower = np.sort(fill[bins])[:2]
+    emptiest = np.where(fill[own] == low, lower, low)
+    best, gain = np.full(len(units), -1), np.zeros(len(units), np.int64)
+    k = np.searchsorted(totals, total + (capacity - fill[own]), "right") - 1
+    u = np.arange(len(units))
+    while len(u):
+        more = totals[k] - total[u]
+        # No smaller unit gains more than this one would against the emptiest container.
+        on = (more > 0) & (2 * more * (fill[own[u]] - emptiest[u] + more) > gain[u])
+        u, k, more = u[on], k[on], more[on]
+        v = np.where(own[start[k]] == own[u], second[k], start[k])
+        g = np.where(own[v] != own[u], 2 * more * (fill[own[u]] - fill[own[v]] + more), 0)
+        better = g > gain[u]
+        best[u[better]], gain[u[better]] = v[better], g[better]
+        k = k - 1
+    return _exchange(box, units, best, gain)
+
+
+def _exchange(box: np.ndarray, units: np.ndarray, best: np.ndarray, gain: np.ndarray) -> int:
+    """Carries out the exchanges of units u and best[u] that gain most, each container in one at most; changes box."""
+    own = units[:, 0]
     used: set[int] = set()
     done = 0
     for u in np.argsort(-gain, kind="stable"):

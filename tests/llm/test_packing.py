@@ -70,6 +70,30 @@ def test_squared_fill_never_falls():
         box = after_box
 
 
+def exchanges_left(sizes, box, capacity):
+    """Whether any exchange of nothing, one or two items for one or two still gains, by trying all."""
+    fill, units = np.bincount(box, sizes), {}
+    for b in set(box.tolist()):
+        own = sizes[box == b].tolist()
+        units[b] = {0, *own, *(x + y for x, y in itertools.combinations(own, 2))}
+    return any(t < v and max(fill[b], fill[a] - 1) < fill[a] + v - t <= capacity for a, b in itertools.permutations(units, 2) for t in units[a] for v in units[b])
+
+
+def test_tied_sizes_hide_no_exchange():
+    sizes, box = np.array([1] * 8 + [2, 2]), np.array([0] * 8 + [1, 2])
+    assert len(set(packing.improve(sizes, box, 10))) == 2
+
+
+def test_search_ends_only_when_no_exchange_is_left():
+    r = np.random.default_rng(5)
+    for _ in range(100):
+        capacity = int(r.integers(8, 60))
+        sizes = r.integers(1, int(r.integers(2, capacity + 1)), int(r.integers(2, 60)))
+        box = packing.improve(sizes, np.arange(len(sizes)), capacity)
+        assert np.bincount(box, sizes).max() <= capacity
+        assert len(set(box)) == -(-sizes.sum() // capacity) or not exchanges_left(sizes, box, capacity)
+
+
 def test_containers_of_a_table(spark):
     texts = [None, "", "a b c d e", "a " * 100, "a b", "a b", "x"] + ["w " * (i % 17) for i in range(200)]
     docs = spark.createDataFrame([(i // 2 if i < 8 else None, t, 9, 9) for i, t in enumerate(texts)], SCHEMA + ", container int, n_tokens int")
