@@ -1,7 +1,8 @@
 """Problem 5: several values packed in one field.
 
-Method: for each source the delimiter is inferred by scoring the candidates on how consistently they cut its fields and
-how regular the pieces are; fields are then split by it and exploded with position."""
+Method: for each source the delimiter is inferred by scoring the candidates on how even their piece counts are over its
+fields and how regular the pieces are; fields are then split by it and exploded with position. Which values a field holds
+is fixed by rule, so each split is checked against it: a field whose pieces aren't one value each is read by the rule."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exonia.session import digits, join_null_safe
+from exonia.session import digits, evaluated, join_null_safe
 
 #: The marks that delimiters are looked for among.
 ATTRIBUTE_MARKS = (";", "|")
@@ -40,9 +41,9 @@ def style(field: Column, marks: tuple[str, ...]) -> Column:
 def scores(df: DataFrame, source: list[str], field: str, reading: Reading) -> DataFrame:
     """(source..., mark, fields, consistency, regularity, score): how well each candidate cuts the fields of each source.
 
-    regularity is the share of non-empty pieces that look like one value; consistency is 1 less the share of the fields
-    that the mark doesn't cut though another candidate does. All rows count, combined before they are shuffled. Null
-    fields don't."""
+    regularity is the share of non-empty pieces that look like one value. consistency is 1 / (1 + spread) of the numbers of
+    pieces, where spread is their standard deviation over their mean, times 1 less the share of the fields that the mark
+    doesn't cut though another candidate does. All rows count, combined before they are shuffled. Null fields don't."""
     rows = df.where(F.col(field).isNotNull()).select(*source, F.col(field).alias("_field")).withColumn("_style", style(F.col("_field"), reading.marks))
     cut = []
     for i, mark in enumerate(reading.marks):
@@ -55,10 +56,12 @@ def scores(df: DataFrame, source: list[str], field: str, reading: Reading) -> Da
                 ((F.col("_style") == 0) | (F.col("_style").bitwiseAND(1 << i) > 0)).cast("int").alias("cuts"),
             )
         )
+    mean = F.sum("n") / F.count("*")
+    spread = F.coalesce(F.try_divide(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("n") * F.col("n")) / F.count("*") - mean * mean)), mean), F.lit(0.0))
     return (
         rows.select(*source, F.inline(F.array(*cut)))
         .groupBy(*source, "mark")
-        .agg(F.count("*").alias("fields"), (F.sum("cuts") / F.count("*")).alias("consistency"), F.coalesce(F.try_divide(F.sum("good"), F.sum("n")), F.lit(0.0)).alias("regularity"))
+        .agg(F.count("*").alias("fields"), (F.sum("cuts") / F.count("*") / (1 + spread)).alias("consistency"), F.coalesce(F.try_divide(F.sum("good"), F.sum("n")), F.lit(0.0)).alias("regularity"))
         .withColumn("score", F.col("consistency") * F.col("regularity"))
     )
 
@@ -89,29 +92,33 @@ def piece_pattern(marks: str) -> str:
     return rf"(?=[^ \t\r\n{marks}]){key}{WS}*+=?+{WS}*+{value}"
 
 
+#: A piece whose quoted value isn't closed within it.
+UNCLOSED = rf"^{WS}*+[^ \t\r\n=;|]*+{WS}*+=?+{WS}*+(?:\"[^\"]*+|'[^']*+)\z"
+
+
 def attribute_items(df: DataFrame, keep: list[str], attr: str, source: list[str]) -> DataFrame:
     """(keep..., pos, tag, item): the pieces of an attribute field in order, counted from 1; keep mustn't have those names.
 
-    Each source's rows, parted by the marks they hold, are split by the delimiter inferred for them; a field in which the
-    other candidate occurs too is read with both, so that the result is what reading by the rule gives. Null fields and
-    fields of white space and marks give no rows, pieces without value an empty item, repeated pieces a row each."""
+    Each source's rows, parted by the marks they hold, are split by the delimiter inferred for them. The split is kept if
+    each piece is one attribute: it is if the other candidate doesn't occur and no quoted value runs over a piece's end.
+    Other fields are read by the rule, with both marks. Null fields and fields of white space and marks give no rows, pieces
+    without value an empty item, repeated pieces a row each."""
     rows = df.where(F.col(attr).isNotNull()).select(*keep, *(F.col(c).alias(f"_src_{c}") for c in source), F.col(attr).alias("_field"))
     rows = rows.withColumn("_style", style(F.col("_field"), ATTRIBUTE_MARKS))
     rows = with_mark(rows, [*(f"_src_{c}" for c in source), "_style"], "_field", ATTRIBUTES)
 
-    def read(marks: str) -> Column:
-        pattern = piece_pattern(marks)
-        whole = F.regexp_extract_all("_field", F.lit(pattern), F.lit(0))
-        return F.transform(
-            whole,
-            lambda p: F.struct(
-                F.regexp_extract(p, pattern, 1).alias("tag"),
-                F.concat(*(F.regexp_extract(p, pattern, g) for g in (2, 3)), F.rtrim(F.concat(*(F.regexp_extract(p, pattern, g) for g in (4, 5))), F.lit(" \t\r\n"))).alias("item"),
-            ),
-        )
-
-    only = lambda i, m: (F.col("_mark") == m) & (F.col("_style") <= (1 << i))
-    pieces = F.when(only(0, ";"), read(";")).when((F.col("_mark") == "|") & (F.col("_style") == 2), read("|")).otherwise(read(";|"))
+    pattern = piece_pattern(";|")
+    cut = reduce(lambda e, m: e.when(F.col("_mark") == m, F.split("_field", "\\Q" + m + "\\E")), ATTRIBUTE_MARKS, F.when(F.lit(False), F.array("_field"))).otherwise(F.array("_field"))
+    alone = reduce(lambda e, i: e.when(F.col("_mark") == ATTRIBUTE_MARKS[i], F.col("_style").bitwiseAND(~(1 << i)) == 0), range(len(ATTRIBUTE_MARKS)), F.when(F.lit(False), True)).otherwise(False)
+    rows = evaluated(rows, _cut=F.when(alone, F.filter(cut, lambda p: p.rlike(r"[^ \t\r\n]"))))
+    whole = F.col("_cut").isNotNull() & ~F.exists("_cut", lambda p: p.rlike(UNCLOSED))
+    pieces = F.transform(
+        F.when(whole, F.col("_cut")).otherwise(F.regexp_extract_all("_field", F.lit(pattern), F.lit(0))),
+        lambda p: F.struct(
+            F.regexp_extract(p, pattern, 1).alias("tag"),
+            F.concat(*(F.regexp_extract(p, pattern, g) for g in (2, 3)), F.rtrim(F.concat(*(F.regexp_extract(p, pattern, g) for g in (4, 5))), F.lit(" \t\r\n"))).alias("item"),
+        ),
+    )
     return rows.select(*keep, F.posexplode(pieces).alias("_pos", "_piece")).select(*keep, (F.col("_pos") + 1).alias("pos"), "_piece.tag", "_piece.item")
 
 
@@ -119,13 +126,15 @@ def number_items(df: DataFrame, keep: list[str], field: str, source: list[str])
     """(keep..., pos, item): the numbers of a packed list in order, counted from 1, as their digits.
 
     A list is split by the delimiter inferred for its source (the given columns and the marks its rows hold); brackets,
-    quotes and blanks around a number are dropped, and a piece that still holds several numbers gives each of them. Null
-    and empty lists give no rows."""
+    quotes and blanks around a number are dropped. The split is kept if each piece that isn't blank is one number so
+    dressed; other lists are read by the rule, which takes every run of digits. Null and empty lists give no rows."""
     rows = df.where(F.col(field).isNotNull()).select(*keep, *(F.col(c).alias(f"_src_{c}") for c in source), F.col(field).alias("_field"))
     rows = rows.withColumn("_style", style(F.col("_field"), NUMBERS.marks))
     rows = with_mark(rows, [*(f"_src_{c}" for c in source), "_style"], "_field", NUMBERS)
     split = reduce(lambda e, m: e.when(F.col("_mark") == m, F.split("_field", "\\Q" + m + "\\E")), NUMBERS.marks, F.when(F.lit(False), F.array("_field"))).otherwise(F.array("_field"))
-    items = F.flatten(F.transform(split, digits))
+    rows = evaluated(rows, _cut=F.filter(split, lambda p: F.trim(p) != ""))
+    whole = F.forall("_cut", lambda p: p.rlike(NUMBERS.regular))
+    items = F.when(whole, F.transform("_cut", lambda p: F.regexp_extract(p, "[0-9]+", 0))).otherwise(digits("_field"))
     return rows.select(*keep, F.posexplode(items).alias("_pos", "item")).select(*keep, (F.col("_pos") + 1).alias("pos"), "item")
 
 

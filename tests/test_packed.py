@@ -73,6 +73,25 @@ def test_inferred_delimiters(spark):
     assert got == {"a": ";", "b": ","}
 
 
+def test_even_piece_counts_decide(spark):
+    # Every piece is regular by both marks; only the numbers of pieces tell them apart: always 3 by |, 2 to 6 by ;.
+    fields = ["a=1;b=2|c=3|d=4", "a=1;b=2|c=3;d=4|e=5;f=6", "a=1;b=2;c=3|d=4;e=5;f=6|g=7;h=8"]
+    df = spark.createDataFrame([(1, f) for f in fields], "s int, f string")
+    got = {x.mark: x for x in packed.scores(df, ["s"], "f", packed.ATTRIBUTES).collect()}
+    assert got[";"].regularity == got["|"].regularity == 1.0
+    assert got["|"].consistency == 1.0 and got[";"].consistency < 0.8
+    assert packed.inferred(df, ["s"], "f", packed.ATTRIBUTES).first().mark == "|"
+
+
+def test_the_split_gives_pieces_only_where_each_is_one_value(spark):
+    fields = ["a=1|b=2", 'a="x|y"|b=2', "a='x|b=2", "a=1;b=2|c=3", " | a = 1 | ", "a='x'|b='y"]
+    df = spark.createDataFrame([(i, f, 1) for i, f in enumerate(fields)], "row_id int, f string, s int")
+    got = {}
+    for x in packed.attribute_items(df, ["row_id"], "f", ["s"]).collect():
+        got.setdefault(x.row_id, []).append((x.pos, x.tag, x.item))
+    assert {i: [x[1:] for x in sorted(v)] for i, v in got.items()} == {i: scan(f) for i, f in enumerate(fields)}
+
+
 def test_many_sources_are_joined(spark, monkeypatch):
     monkeypatch.setattr(packed, "SENT_SOURCES", 3)
     df = spark.createDataFrame([(i, f"{i}{'|;'[i % 2]}x=2", str(i)) for i in range(20)], "row_id int, f string, s string")
