@@ -2,7 +2,8 @@
 
 Method: an error-recovering recursive-descent grammar of annotation records. Each rule reads what it can, notes errors
 with their place, and goes on; after a broken quote reading resumes at the next validated anchor: within a record at the
-next piece that starts like an attribute, in a text of many lines at the next line that starts like a record."""
+next piece that starts like an attribute, in texts or files of many lines at the next line that starts like a record. Lines
+passed over on the way have a fault each."""
 
 from __future__ import annotations
 
@@ -11,14 +12,19 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from exonia.session import stored
+
 WHITE = " \t\r\n"
 #: The identifier's key in each dialect, the strands, and the reasons in the order in which they count.
 IDENTIFIER = {"gff3": "ID", "gtf": "transcript_id", "jgi": "proteinId"}
 STRANDS = ("+", "-", ".")
 REASONS = ("columns", "quoting", "value")
+UNCLOSED, PASSED_OVER = "quote isn't closed", "after a quote that isn't closed"
+#: Lines of a file that are put in order at once.
+BLOCK_LINES = 1 << 16
 
 _SEQID = re.compile(r"(?:[A-Za-z0-9.:^*$@!+_?|-]|%[0-9A-Fa-f]{2})+")
 _KEY = re.compile(r"[^ \t\r\n=;|]*")
@@ -96,7 +102,7 @@ def read_quoted(text: str, at: int, faults: list[Fault]) -> tuple[str, int]:
     """quoted := MARK (any but MARK)* MARK WS*, up to the end of the piece; resumes at a piece's anchor where it is broken."""
     close = text.find(text[at], at + 1)
     if close < 0:
-        faults.append(Fault("quoting", 9, at, "quote isn't closed"))
+        faults.append(Fault("quoting", 9, at, UNCLOSED))
         anchor = _PIECE_ANCHOR.search(text, at)
         end = anchor.start() if anchor else len(text)
         return text[at + 1 : end].rstrip(WHITE), end
@@ -112,9 +118,20 @@ def read_line(line: str | None, dialect: str | None) -> Record | None:
     return None if not text or text[0] == "#" else read_record(text, dialect)
 
 
+def is_broken(record: Record | None) -> bool:
+    return record is not None and any(f.message == UNCLOSED for f in record.faults)
+
+
+def resumes(line: str) -> bool:
+    """Whether reading goes on at a line after a broken quote: a blank one, a comment or a validated record start."""
+    text = line.lstrip(WHITE)
+    return not text or text[0] == "#" or bool(_RECORD_ANCHOR.match(text))
+
+
 def read_text(text: str, dialect: str | None) -> Iterator[tuple[int, Record]]:
     """(number of the first line, record) of a text of many lines. Where a quote is broken, the lines up to the next
-    validated record start or comment belong to the broken record, whose fault says where it began."""
+    validated record start or comment belong to the broken record: its faults say where it began and where each such line is,
+    with the faults that the line has by itself. They are of its quoting."""
     lines = text.split("\n")
     i = 0
     while i < len(lines):
@@ -122,8 +139,14 @@ def read_text(text: str, dialect: str | None) -> Iterator[tuple[int, Record]]:
         i += 1
         if record is None:
             continue
-        if any(f.message == "quote isn't closed" for f in record.faults):
-            while i < len(lines) and lines[i].strip(WHITE) and lines[i].lstrip(WHITE)[:1] != "#" and not _RECORD_ANCHOR.match(lines[i].lstrip(WHITE)):
+        if is_broken(record):
+            at = len(lines[first].lstrip(WHITE)) + 1
+            while i < len(lines) and not resumes(lines[i]):
+                lead = len(lines[i]) - len(lines[i].lstrip(WHITE))
+                own = read_line(lines[i], dialect).faults
+                record.faults.append(Fault("quoting", 0, at + lead, PASSED_OVER))
+                record.faults.extend(Fault("quoting", f.column, at + lead + f.offset, f"{PASSED_OVER}: {f.message}") for f in own)
+                at += len(lines[i]) + 1
                 i += 1
         yield first, record
 
@@ -202,6 +225,43 @@ def parse_texts(df: DataFrame, text_id: str, text: str, dialect: str) -> DataFra
     return df.select(text_id, text, dialect).mapInArrow(parse, f"{text_id} {key}, line_no int, {PARSED}")
 
 
+def resumed_lines(df: DataFrame, file: str = "file_name", line_no: str = "line_no", line_id: str = "line_id", line: str = "line", dialect: str = "dialect", block: int = BLOCK_LINES) -> DataFrame:
+    """(id, file, number, faults, broken_no): the records among the lines of files, as read_text reads a file's lines.
+
+    A line after a broken quote, up to the next validated record start, comment or blank line of the same file, has the
+    number of the broken record's line in broken_no and, before its own faults, one that says so; for others broken_no is
+    null. A file's lines are ordered by number, then id, in blocks of line numbers, so that a file may have any size. A
+    line without file or number follows no other one. Names that clash with these columns don't matter."""
+
+    def parse(batches):
+        for b in batches:
+            kept: list[tuple] = []
+            for text, kind in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                r = read_line(text, kind)
+                broken, stop = is_broken(r), resumes(text or "")
+                kept.append((r is not None, stop, True if broken else False if stop else None, [f._asdict() for f in r.faults] if r else []))
+            columns = [pa.array(c, t) for c, t in zip(zip(*kept, strict=True) if kept else [()] * 4, (pa.bool_(), pa.bool_(), pa.bool_(), FAULTS), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], ["_id", "_file", "_no", "_record", "_stop", "_event", "_faults"])
+
+    kinds = [df.schema[c].dataType.simpleString() for c in (line_id, file, line_no)]
+    fault = "struct<reason: string, `column`: int, `offset`: int, message: string>"
+    rows = df.select(line_id, file, line_no, line, dialect).mapInArrow(parse, f"_id {kinds[0]}, _file {kinds[1]}, _no {kinds[2]}, _record boolean, _stop boolean, _event boolean, _faults array<{fault}>")
+    rows = rows.withColumn("_block", F.expr(f"cast(_no as bigint) div {block}")).withColumn("_state", F.when(F.col("_event").isNotNull(), F.struct("_event", "_no")))
+    # What can't be placed is a part of its own.
+    placed = F.col("_file").isNotNull() & F.col("_no").isNotNull()
+    rows = stored(rows.withColumn("_lone", F.when(~placed, F.col("_id"))), "lines")
+    before = lambda *by: Window.partitionBy("_file", *by).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct("_no", "_id")
+    last = rows.where(placed).groupBy("_file", "_block").agg(F.max_by("_state", F.when(F.col("_event").isNotNull(), at)).alias("_last"))
+    carried = last.select("_file", "_block", F.last("_last", ignorenulls=True).over(before().orderBy("_block")).alias("_carried"))
+    held = rows.withColumn("_held", F.last("_state", ignorenulls=True).over(before("_block", "_lone").orderBy("_no", "_id")))
+    every = held.join(carried, ["_file", "_block"], "left").withColumn("_held", F.coalesce(F.when(placed, F.col("_held")), "_carried"))
+    broken_no = F.when(~F.col("_stop") & F.col("_held._event"), F.col("_held._no"))
+    note = F.array(F.struct(F.lit("quoting").alias("reason"), F.lit(0).alias("column"), F.lit(0).alias("offset"), F.lit(PASSED_OVER).alias("message")).cast(fault))
+    faults = F.when(broken_no.isNotNull(), F.concat(note, "_faults")).otherwise(F.col("_faults"))
+    return every.where("_record").select(F.col("_id").alias(line_id), F.col("_file").alias(file), F.col("_no").alias(line_no), faults.alias("faults"), broken_no.alias("broken_no"))
+
+
 def faulty(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull())
 

@@ -24,6 +24,12 @@ def p1_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select("line_id", F.posexplode("faults").alias("nth", "f")).select("line_id", "nth", "f.reason", F.col("f.column").alias("column_no"), "f.offset", "f.message")
 
 
+def p1_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Located faults of the lines as parts of their files: after a broken quote reading goes on at the next record start."""
+    lines = records.resumed_lines(table(spark, sf_dir, "gff_raw"))
+    return lines.select("line_id", "broken_no", F.posexplode("faults").alias("nth", "f")).select("line_id", "broken_no", "nth", "f.reason", F.col("f.column").alias("column_no"), "f.offset", "f.message")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.coding_blocks(table(spark, sf_dir, "genepred"))
 
@@ -47,7 +53,7 @@ def p5_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("organism", "mark", "fields", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_faults, p3_found, p4_found, p4_report, p5_found, p5_delimiters)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_faults, p1_resumed, p3_found, p4_found, p4_report, p5_found, p5_delimiters)}
 
 # One attribute piece for RE2, and its key, the part before its value and a closed value with its marks.
 _PIECE = r"""(?:[^ \t\r\n=;|]+[ \t\r\n]*=?|=)[ \t\r\n]*(?:"[^"]*"[^;|]*|''[^'']*''[^;|]*|["''](?s:.*)|[^;|"''][^;|]*|)"""

@@ -91,6 +91,42 @@ def test_texts_resume_at_record_starts(spark):
     assert got == [(2, None), (3, "quoting"), (6, None), (8, None)]
 
 
+BROKEN = [GOOD + "ID='b", "x\ty", GOOD.replace("+", "?") + "ID=c", " " + GOOD.replace("5", "five") + "ID=d", GOOD + "ID=e"]
+
+
+def test_lines_passed_over_have_faults_of_their_own():
+    text = "\n" + "\n".join(" " + x for x in BROKEN)
+    (first, broken), (last, good) = records.read_text(text, "gff3")
+    assert (first, last, good.faults) == (1, 5, [])
+    record = text[text.index("chr1") :]
+    found = {record[f.offset :].split("\t")[0].split("\n")[0]: f.message for f in broken.faults if f.message == records.PASSED_OVER}
+    assert len([f for f in broken.faults if f.message == records.PASSED_OVER]) == 3 and set(found) == {"x", "chr1"}
+    assert {f.message for f in broken.faults} >= {f"{records.PASSED_OVER}: 2 columns", f"{records.PASSED_OVER}: strand"}
+
+
+def test_lines_of_files_resume_at_record_starts(spark):
+    r = random.Random(11)
+    kinds = [*BROKEN, "# c", "", None, "'", BROKEN[4], BROKEN[1]]
+    files = {f: [r.choice(kinds) for _ in range(r.randint(1, 60))] for f in "abcd"}
+    data = [(100 * k + i, f, i + 1, x, "gff3", 7) for k, (f, lines) in enumerate(files.items()) for i, x in enumerate(lines)]
+    data += [(900, None, 1, BROKEN[0], "gff3", 7), (901, None, 2, BROKEN[1], "gff3", 7), (902, "e", None, BROKEN[0], "gff3", 7), (903, "e", 1, BROKEN[1], "gff3", 7)]
+    r.shuffle(data)
+    df = spark.createDataFrame(data, "line_id long, file_name string, line_no int, line string, dialect string, faults int")
+    got = {x.line_id: x for x in records.resumed_lines(df, block=7).collect()}
+    want = {}
+    for k, (_, lines) in enumerate(files.items()):
+        starts = [n for n, _ in records.read_text("\n".join(x or "" for x in lines), "gff3")]
+        for i, x in enumerate(lines):
+            if records.read_line(x, "gff3") is not None:
+                want[100 * k + i] = None if i in starts else max(n for n in starts if n < i) + 1
+    assert any(want.values()) and {i: x.broken_no for i, x in got.items() if i < 900} == want
+    assert {i: x.broken_no for i, x in got.items() if i >= 900} == dict.fromkeys((900, 901, 902, 903))
+    lines = {d[0]: d[3] for d in data}
+    for i, x in got.items():
+        own = [tuple(f) for f in records.read_line(lines[i], "gff3").faults]
+        assert [tuple(f) for f in x.faults] == ([("quoting", 0, 0, records.PASSED_OVER)] if x.broken_no else []) + own
+
+
 def test_typed_values(spark):
     df = spark.createDataFrame([(1, "c\ts\tt\t7\tx\t1e-5\t+\t2\tID=a", "gff3"), (2, "c\ts\tt\t7\t9\t.\t.\t.\tID=a", "gff3")], "line_id long, line string, dialect string")
     one, two = sorted(records.valid(records.parse_lines(df)).collect())
