@@ -154,6 +154,7 @@ def check_sites(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = aligned.select("alignment", "organism", "strand", "exons", "residues", "dna", "origin")
     p = parsimony.Penalties(a.loss, a.gain, a.shift, a.annot)
     scores = scores_of(load_model(spark, a.model))
+    homology.doubled(rows, list(scores.index)).write.mode("overwrite").parquet(f"{a.out}/unjudged")
     for what in ("contexts", "nodes", "edits"):
         homology.reconstructed(rows, scores, tree, what, p).write.mode("overwrite").parquet(f"{a.out}/{what}")
     nodes, edits = (spark.read.parquet(f"{a.out}/{what}") for what in ("nodes", "edits"))

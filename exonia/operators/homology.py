@@ -424,7 +424,7 @@ def two_introns_in_a_codon(members: list[Member]) -> bool:
 
 
 def _members(pdf: pd.DataFrame) -> list[Member]:
-    pdf = pdf.sort_values("organism").drop_duplicates("organism")
+    pdf = pdf.sort_values("organism")
     as_pairs = lambda exons: [(int(e["start"]), int(e["end"])) for e in exons]
     return [walk(r.residues, as_pairs(r.exons), r.strand, r.dna, int(r.origin), r.organism) for r in pdf.itertuples()]
 
@@ -434,20 +434,28 @@ NODES = "alignment string, ctx int, node string, parent string, is_leaf boolean,
 EDITS = "alignment string, ctx int, organism string, edit string, donor int, acceptor int, shift int, exon_starts string, exon_ends string"
 
 
+def doubled(sequences: DataFrame, organisms: list[str]) -> DataFrame:
+    """(alignment, organism, n): organisms with several sequences in an alignment, which isn't judged for that."""
+    from pyspark.sql import functions as F
+
+    return sequences.where(F.col("organism").isin(organisms)).groupBy("alignment", "organism").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def reconstructed(sequences: DataFrame, scores: Scores, tree: list[tuple[str, str | None]], what: str, penalties: parsimony.Penalties = parsimony.Penalties()) -> DataFrame:
     """Contexts, node states or edits (`what`: contexts, nodes, edits) of every alignment.
 
-    sequences: (alignment, organism, strand, exons, residues, dna, origin), at most a sequence an organism; further ones of
-    an organism, and organisms without scores, are left out before they are grouped. Alignments of one sequence, and those
-    with two introns of a gene in one codon, give nothing."""
+    sequences: (alignment, organism, strand, exons, residues, dna, origin); organisms without scores are left out before they
+    are grouped. Alignments of one sequence, those with two introns of a gene in one codon, and those with several sequences
+    of one organism, of which none is the right one (see doubled), give nothing."""
     from pyspark.sql import functions as F
 
     known = list(scores.index)
     row = F.struct("strand", "exons", "residues", "dna", "origin")
-    once = sequences.where(F.col("organism").isin(known)).groupBy("alignment", "organism").agg(F.min(row).alias("_r")).select("alignment", "organism", "_r.*")
+    once = sequences.where(F.col("organism").isin(known)).groupBy("alignment", "organism").agg(F.min(row).alias("_r"), F.count("*").alias("_n")).select("alignment", "organism", "_r.*", "_n")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, members, out = pdf["alignment"].iloc[0], _members(pdf), []
+        single = (pdf["_n"] == 1).all()
+        name, members, out = pdf["alignment"].iloc[0], _members(pdf) if single else [], []
         genes = {m.organism: m.exons for m in members}
         if len(members) > 1 and not two_introns_in_a_codon(members):
             for n, ctx in enumerate(contexts(members, scores)):

@@ -90,6 +90,12 @@ def gene_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, "edits")
 
 
+@query
+def unjudged_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organisms with several sequences in an alignment, which the queries above leave out for that."""
+    return homology.doubled(members(spark, sf_dir), AL.organism_names(spark, sf_dir))
+
+
 @query
 def event_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each kind of event occurs on each branch."""

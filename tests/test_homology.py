@@ -170,6 +170,19 @@ def test_substitution_scores_of_stops(spark):
     assert got[0, 0].expected == (5 * got[0, 0].score + got[0, 1].score) / 6
 
 
+def test_alignments_with_several_sequences_of_an_organism(spark):
+    rows = []
+    for alignment_, names in (("single", "abc"), ("double", "aabc"), ("other", "abcxx")):
+        for k, name in enumerate(names):
+            text, exons = gene(PROTEIN, [90 + 3 * (k == 1 and alignment_ == "double")])
+            rows.append((alignment_, name, "+", exons, PROTEIN, text, 0))
+    df = spark.createDataFrame(rows, "alignment string, organism string, strand string, exons array<struct<start: int, end: int>>, residues string, dna string, origin int")
+    for what in ("contexts", "nodes"):
+        got = homology.reconstructed(df, scores(list("abc")), TREE, what).collect()
+        assert {r.alignment for r in got} == {"single", "other"}
+    assert [tuple(r) for r in homology.doubled(df, list("abc")).collect()] == [("double", "a", 2)]
+
+
 def write_inputs(tmp):
     """Genomes, GFF, alignments and a tree of three organisms; gene g1 of b has an intron that the others lack."""
     r = random.Random(12)
