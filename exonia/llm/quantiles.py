@@ -23,7 +23,8 @@ HALVINGS, SPREAD = 4, 8
 
 
 def summaries(values: DataFrame, group: list[str], period: str, value: str, error: float = ERROR) -> DataFrame:
-    """(group..., period, value, weight): at most 1 / error + 1 rows for each group and period.
+    """(group..., period, value, weight): of n values at most n / floor(error * n) + 1 rows for each group and period, near 1 / error
+    + 1 for large n.
 
     value must be an integer column (scale decimals first); null values are left out. Null group columns and periods are
     groups of their own. Repeated values are counted before anything is shuffled. An empty table gives an empty one."""

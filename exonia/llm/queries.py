@@ -63,7 +63,8 @@ _VALUES = """
         FROM (SELECT *, regexp_extract_all(exonstarts, '[0-9]+') AS s, regexp_extract_all(exonends, '[0-9]+') AS e FROM genepred) WHERE len(s) = len(e))
   WHERE e > s"""
 
-#: Summaries of fewer than 400 values are exact, as those of the small test tables are; then percentiles are too.
+#: The SQL of problem 2 is exact. It gives the queries' rows only while every (organism, chrom, measure, day) has fewer than
+#: 400 values; from 400 on a day is thinned, values may lie 0.5 % of ranks off and the SQL no longer applies.
 ORACLE = {
     "p2_percentiles": f"""
       WITH v AS ({_VALUES}), c AS (SELECT organism, chrom, measure, value, count(*) AS k FROM v GROUP BY ALL),

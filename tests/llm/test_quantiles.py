@@ -38,6 +38,23 @@ def test_error_is_bounded_and_summaries_are_small(spark):
         assert below - 0.01 * len(values) <= target <= upto + 0.01 * len(values) + 1
 
 
+def test_thinned_days_keep_the_rank_bound(spark):
+    r = random.Random(4)
+    data = [(g, f"d{d}", int(r.gauss(k * 10**5, 10**6))) for k, g in enumerate(("a", "b")) for d in range(3) for _ in range(2500 + 700 * d)]
+    s = quantiles.summaries(spark.createDataFrame(data, SCHEMA), ["g"], "day", "v").persist()
+    sizes = {(x.g, x.day): x["count"] for x in s.groupBy("g", "day").count().collect()}
+    for d in range(3):
+        n = 2500 + 700 * d
+        assert all(sizes[g, f"d{d}"] <= n // int(quantiles.ERROR * n) + 1 < n / 10 for g in "ab")
+    got = {(x.g, x.percent): x for x in quantiles.percentiles(s, ["g"]).collect()}
+    assert len(got) == 2 * len(quantiles.PERCENTS)
+    for (g, percent), x in got.items():
+        values = [v for k, _, v in data if k == g]
+        below, upto, target = sum(v < x.value for v in values), sum(v <= x.value for v in values), len(values) * percent / 100
+        assert x.n == len(values) and below - quantiles.ERROR * x.n <= target <= upto + quantiles.ERROR * x.n + 1
+    s.unpersist()
+
+
 def test_some_days_and_none(spark):
     df = spark.createDataFrame([("a", "d1", 1), ("a", "d2", 5), ("a", "d2", 5), ("a", None, 9)], SCHEMA)
     s = quantiles.summaries(df, ["g"], "day", "v")
