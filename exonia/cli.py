@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from exonia.functions import seq as S
 from exonia.operators import alignment, counting, genes, homology, lengths, parsimony, scoring
-from exonia.session import build_session, evaluated
+from exonia.session import build_session, evaluated, few
 from exonia.sources import fasta, model_text, newick, report_lines, text_lines
 
 #: Identifier key of each dialect.
@@ -86,7 +86,7 @@ def sequences_of(spark: SparkSession, files: list[str], models: DataFrame) -> Da
 def statistics(spark: SparkSession, models: DataFrame, aligned: DataFrame) -> dict[str, DataFrame]:
     """The tables of a statistics model; models with `dna` and `local`."""
     rows = models.select("organism", "strand", F.col("local").alias("exons"), F.col("dna").alias("seq"))
-    organisms = [r.organism for r in models.select("organism").distinct().orderBy("organism").limit(1000).collect()]
+    organisms = few(models.select("organism").distinct().orderBy("organism"), "organism")
     cut = lambda rows: evaluated(rows, coding=genes.cds(F.col("dna"), F.col("local"), F.col("strand")))
     codons = lambda rows: alignment.aligned_codons(cut(rows)).select("alignment", "organism", "codons")
     columns = alignment.codon_columns(alignment.complete(aligned.where("residues is not null"), len(organisms), codons))

@@ -11,7 +11,7 @@ from exonia.operators import alignment, counting, genes, scoring
 from exonia.plans import sequences as SQ
 from exonia.plans.models import _GENE_OF
 from exonia.plans.views import INTRON, models
-from exonia.session import cores, evaluated, table
+from exonia.session import cores, evaluated, few, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -123,7 +123,7 @@ def organism_names(spark: SparkSession, sf_dir: str) -> list[str]:
     """The leaves of the tree: as many as there are organisms."""
     edges = table(spark, sf_dir, "phylo_edge")
     leaves = edges.join(edges.select(F.col("parent_name").alias("node_name")), "node_name", "left_anti")
-    return [r.node_name for r in leaves.orderBy("node_name").limit(1000).collect()]
+    return few(leaves.orderBy("node_name"), "node_name")
 
 
 _PAIRS = (

@@ -27,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few(df: DataFrame, column: str, most: int = 1000) -> list:
+    """A column's values on the driver, in the rows' order; an error if there are more than `most`."""
+    rows = df.select(column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows of {column}")
+    return [r[0] for r in rows]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session, or where that is unset (tests, one
     machine) a new temporary folder, which is then kept in the session."""

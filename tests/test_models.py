@@ -141,3 +141,14 @@ def test_model_text_round_trip(spark, tmp_path):
         assert sorted(map(tuple, back[name].collect())) == sorted(rows[name]), name
     model_text.save(model, str(tmp_path / "folder"))
     assert sorted(map(tuple, model_text.load(spark, str(tmp_path / "folder"))["codons"].collect())) == sorted(rows["codons"])
+
+
+def test_too_many_organisms_are_an_error(spark, tmp_path):
+    from exonia.plans import alignments
+
+    for n in (1000, 1001):
+        edges = [(i, f"n{i:04}", "root", 1.0) for i in range(n)] + [(n, "root", None, 0.0)]
+        spark.createDataFrame(edges, "postorder int, node_name string, parent_name string, branch_length double").write.parquet(f"{tmp_path}/{n}/phylo_edge.parquet")
+    assert len(alignments.organism_names(spark, f"{tmp_path}/1000")) == 1000
+    with pytest.raises(ValueError):
+        alignments.organism_names(spark, f"{tmp_path}/1001")
