@@ -1,147 +1,223 @@
 """Problem 5: several values packed in one field.
 
 Method: for each source the delimiter is inferred by scoring the candidates on how even their piece counts are over its
-fields and how regular the pieces are; fields are then split by it and exploded with position. Which values a field holds
-is fixed by rule, so each split is checked against it: a field whose pieces aren't one value each is read by the rule."""
+fields and how regular the pieces are; fields are split by it and exploded with position. Fields that the source's delimiter
+doesn't cut into regular pieces only are of other hands: for these the delimiter is inferred again, for each source and set
+of marks that the fields hold. Nothing else reads a field, so a wrong delimiter gives wrong rows."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exonia.session import digits, evaluated, join_null_safe
+from exonia.session import evaluated, join_null_safe, spread
 
-#: The marks that delimiters are looked for among.
-ATTRIBUTE_MARKS = (";", "|")
 #: Most sources whose inferred delimiters are sent to all tasks; more of them are joined by shuffling.
 SENT_SOURCES = 4096
 WS = r"[ \t\r\n]"
+BLANK = " \t\r\n"
+#: What may surround a number.
+DRESSING = BLANK + "\"'{}[]()"
+
+
+def piece_pattern(marks: str) -> str:
+    """One attribute piece: key, white space, at most one `=`, white space, value, with the white space after it. A value
+    that begins with a quote runs to the next one, and the piece to the next of the marks after that; one that is never
+    closed runs to the end. Groups: 1 key, 2 and 3 the quoted value, 4 an unclosed one, 5 the plain one."""
+    key = rf"([^ \t\r\n={marks}]*+)"
+    rest = rf"[^{marks}]*+"
+    value = rf"(?:\"([^\"]*+)\"{rest}|'([^']*+)'{rest}|[\"']([\s\S]*+)|([^{marks}]*+))"
+    return rf"(?=[^ \t\r\n{marks}]){key}{WS}*+=?+{WS}*+{value}"
 
 
 @dataclass(frozen=True)
-class Reading:
-    """How fields of one kind are read: candidate delimiters, and the pattern of a regular piece."""
+class Candidate:
+    """A delimiter: what parts two pieces, what is dropped from a field's ends (nothing: empty pieces are dropped instead), one
+    regular piece with the delimiter behind it, and, where quotes protect delimiters, a piece of a field that has quotes."""
 
-    marks: tuple[str, ...]
+    name: str
+    between: str
+    ends: str
     regular: str
+    quoted: str | None = None
 
+    def pieces(self, field: Column) -> Column:
+        """The pieces of a field, without white space before them; blank ones don't count."""
+        if not self.ends:
+            return F.array_remove(F.split(field, self.between), "")
+        bare = F.trim(field, F.lit(self.ends))
+        plain = F.when(bare != "", F.split(bare, self.between)).otherwise(F.array().cast("array<string>"))
+        if self.quoted is None:
+            return plain
+        return F.when(field.rlike("[\"']"), F.regexp_extract_all(field, F.lit(self.quoted), F.lit(0))).otherwise(plain)
 
-NUMBERS = Reading((",", ";", "|", "/", "\t", " "), r"^[ \t\r\n\"'{}\[\]()]*[0-9]+[ \t\r\n\"'{}\[\]()]*$")
-ATTRIBUTES = Reading(ATTRIBUTE_MARKS, r"^[ \t\r\n]*[^ \t\r\n=;|\"']+[ \t\r\n]*[ \t=][ \t\r\n]*(\"[^\"]*\"|'[^']*'|[^\"]+)[ \t\r\n]*$")
+    def explains(self, field: Column) -> Column:
+        """Whether every piece is regular: what is left when regular pieces are taken away from the start is blank."""
+        return F.trim(F.regexp_replace(field, self.regular, F.lit("")), F.lit(self.ends)) == ""
 
 
-def style(field: Column, marks: tuple[str, ...]) -> Column:
-    """Which of the candidate marks a field holds, as an int: fields in one hand's style share it."""
-    return reduce(lambda a, b: a + b, (F.when(F.contains(field, F.lit(m)), 1 << i).otherwise(0) for i, m in enumerate(marks)))
+def _attributes(marks: str) -> Candidate:
+    value = r"(?:\"[^\"]*+\"|'[^']*+'|[^ \t\r\n;|\"'][^;|\"]*+)"
+    bare_value = r"(?:\"[^\"]*+\"|'[^']*+'|[^ \t\r\n=;|\"'][^;|\"]*+)"
+    piece = rf"[^ \t\r\n=;|\"']++(?:{WS}*+={WS}*+{value}|{WS}++{bare_value}){WS}*+"
+    return Candidate(marks, rf"[{marks}][ \t\r\n{marks}]*+", BLANK + marks, rf"\G[ \t\r\n{marks}]*+{piece}(?:[{marks}]|\z)", piece_pattern(marks))
 
 
-def scores(df: DataFrame, source: list[str], field: str, reading: Reading) -> DataFrame:
-    """(source..., mark, fields, consistency, regularity, score): how well each candidate cuts the fields of each source.
+def _numbers(mark: str) -> Candidate:
+    dressing = "".join("\\" + c for c in DRESSING if c != mark)
+    m = "\\" + mark
+    return Candidate(mark, f"{m}[{dressing}{m}]*+", DRESSING + mark, rf"\G[{dressing}{m}]*+[0-9]++[{dressing}]*+(?:{m}|\z)")
 
-    regularity is the share of non-empty pieces that look like one value. consistency is 1 / (1 + spread) of the numbers of
-    pieces, where spread is their standard deviation over their mean, times 1 less the share of the fields that the mark
-    doesn't cut though another candidate does. All rows count, combined before they are shuffled. Null fields don't."""
-    rows = df.where(F.col(field).isNotNull()).select(*source, F.col(field).alias("_field")).withColumn("_style", style(F.col("_field"), reading.marks))
-    cut = []
-    for i, mark in enumerate(reading.marks):
-        pieces = F.filter(F.split("_field", "\\Q" + mark + "\\E"), lambda p: F.trim(p) != "")
-        cut.append(
-            F.struct(
-                F.lit(mark).alias("mark"),
-                F.size(pieces).alias("n"),
-                F.size(F.filter(pieces, lambda p: p.rlike(reading.regular))).alias("good"),
-                ((F.col("_style") == 0) | (F.col("_style").bitwiseAND(1 << i) > 0)).cast("int").alias("cuts"),
-            )
-        )
-    mean = F.sum("n") / F.count("*")
-    spread = F.coalesce(F.try_divide(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("n") * F.col("n")) / F.count("*") - mean * mean)), mean), F.lit(0.0))
+
+@dataclass(frozen=True)
+class Reading:
+    """How fields of one kind are read: the candidate marks, and the widest delimiter, for fields that mix marks."""
+
+    marks: tuple[Candidate, ...]
+    widest: Candidate
+
+    @property
+    def candidates(self) -> tuple[Candidate, ...]:
+        return (*self.marks, self.widest)
+
+    def bit(self, mark: Column) -> Column:
+        """The candidate's bit in a set of candidates; 0 for a mark that is none."""
+        return F.coalesce(F.create_map(*(F.lit(x) for i, c in enumerate(self.candidates) for x in (c.name, 1 << i)))[mark], F.lit(0))
+
+    def style(self, field: Column) -> Column:
+        """Which of the marks a field holds, as an int."""
+        return reduce(lambda a, b: a + b, (F.when(F.contains(field, F.lit(m.name)), 1 << i).otherwise(0) for i, m in enumerate(self.marks)))
+
+
+NUMBERS = Reading(tuple(map(_numbers, (",", ";", "|", "/", "\t", " "))), Candidate("other", "[^0-9]++", "", r"[^0-9]*+[0-9]++[^0-9]*+|\G[^0-9]++"))
+ATTRIBUTES = Reading((_attributes(";"), _attributes("|")), _attributes(";|"))
+
+
+def cells(df: DataFrame, source: list[str], field: str, reading: Reading) -> DataFrame:
+    """(source..., _style, _good, mark, fields, n, nn): the one pass over all fields. Those of one source that hold the same marks and
+    are explained by the same candidates (bits of _good) are counted together, with the sums of each candidate's piece counts
+    and of their squares, combined before they are shuffled. Null fields don't count."""
+    text = F.col("_field")
+    rows = df.where(F.col(field).isNotNull()).select(*source, F.col(field).alias("_field"))
+    good = reduce(lambda a, b: a + b, (F.when(c.explains(text), 1 << i).otherwise(0) for i, c in enumerate(reading.candidates)))
+    sizes = {f"_n{i}": F.size(c.pieces(text)).cast("bigint") for i, c in enumerate(reading.candidates)}
+    rows = rows.select(*source, reading.style(text).alias("_style"), good.alias("_good"), *(n.alias(name) for name, n in sizes.items()))
+    sums = (x for name in sizes for x in (F.sum(name).alias(name), F.sum(F.col(name) * F.col(name)).alias(f"_n{name}")))
+    whole = rows.groupBy(*source, "_style", "_good").agg(F.count("*").alias("fields"), *sums)
+    each = F.array(*(F.struct(F.lit(c.name).alias("mark"), F.col(name).alias("n"), F.col(f"_n{name}").alias("nn")) for c, name in zip(reading.candidates, sizes, strict=True)))
+    return whole.select(*source, "_style", "_good", "fields", F.inline(each))
+
+
+def scores(counted: DataFrame, source: list[str], reading: Reading) -> DataFrame:
+    """(source..., mark, fields, consistency, regularity, score) of cells: how well each candidate cuts the fields of each source.
+
+    regularity is the share of fields whose pieces all look like one value. consistency is 1 / (1 + spread) of the numbers
+    of pieces, where spread is their standard deviation over their mean, times 1 less the share of the fields that the mark
+    doesn't cut though another one does."""
+    bits = reading.bit(F.col("mark"))
+    cuts = (F.col("_style") == 0) | (F.col("mark") == reading.widest.name) | (F.col("_style").bitwiseAND(bits) > 0)
+    share = lambda which: F.coalesce(F.sum(F.when(which, F.col("fields"))), F.lit(0)) / F.sum("fields")
+    mean = F.sum("n") / F.sum("fields")
+    spread = F.coalesce(F.try_divide(F.sqrt(F.greatest(F.lit(0.0), F.sum("nn") / F.sum("fields") - mean * mean)), mean), F.lit(0.0))
     return (
-        rows.select(*source, F.inline(F.array(*cut)))
-        .groupBy(*source, "mark")
-        .agg(F.count("*").alias("fields"), (F.sum("cuts") / F.count("*") / (1 + spread)).alias("consistency"), F.coalesce(F.try_divide(F.sum("good"), F.sum("n")), F.lit(0.0)).alias("regularity"))
+        counted.groupBy(*source, "mark")
+        .agg(F.sum("fields").alias("fields"), (share(cuts) / (1 + spread)).alias("consistency"), share(F.col("_good").bitwiseAND(bits) > 0).alias("regularity"))
         .withColumn("score", F.col("consistency") * F.col("regularity"))
     )
 
 
-def inferred(df: DataFrame, source: list[str], field: str, reading: Reading) -> DataFrame:
-    """(source..., mark): the candidate with the best score; the earlier candidate wins a tie."""
-    order = F.create_map(*(F.lit(x) for i, m in enumerate(reading.marks) for x in (m, -i)))
-    return scores(df, source, field, reading).groupBy(*source).agg(F.max_by("mark", F.struct("score", order[F.col("mark")])).alias("mark"))
-
-
-def with_mark(df: DataFrame, source: list[str], field: str, reading: Reading) -> DataFrame:
-    """df with `_mark`, the delimiter of the row's source. The sources' delimiters are sent to all tasks only after their
-    number was found to be at most SENT_SOURCES."""
-    best = inferred(df, source, field, reading)
-    few = best.limit(SENT_SOURCES + 1).collect()
+def inferred(counted: DataFrame, source: list[str], reading: Reading, mixed: bool = False) -> DataFrame:
+    """(source..., mark): the mark with the best score; the earlier one wins a tie.
+
+    mixed: the widest delimiter is a candidate too, and a mark comes before it only if it explains all fields; of those that
+    do, the one with the most even piece counts is chosen."""
+    place = F.create_map(*(F.lit(x) for i, c in enumerate(reading.candidates) for x in (c.name, -i)))[F.col("mark")]
+    widest = F.col("mark") == reading.widest.name
+    if mixed:
+        order = F.struct("regularity", F.when(F.col("regularity") == 1, F.col("consistency")).otherwise(widest.cast("double")), place)
+    else:
+        counted, order = counted.where(~widest), F.struct("score", place)
+    return scores(counted, source, reading).groupBy(*source).agg(F.max_by("mark", order).alias("mark"))
+
+
+def delimiters(df: DataFrame, source: list[str], field: str, reading: Reading) -> DataFrame:
+    """(source..., _style, mark, own): for each source and set of marks the source's delimiter, and the one of those fields that it
+    doesn't explain (null if there are none)."""
+    counted = cells(df, source, field, reading)
+    first = join_null_safe(counted, inferred(counted, source, reading).withColumnRenamed("mark", "_first"), source, "left")
+    left = first.where(F.col("_good").bitwiseAND(reading.bit(F.col("_first"))) == 0)
+    own = inferred(left, [*source, "_style"], reading, mixed=True).withColumnRenamed("mark", "own")
+    styles = first.groupBy(*source, "_style").agg(F.first("_first").alias("mark"))
+    return join_null_safe(styles, own, [*source, "_style"], "left")
+
+
+def _by_mark(reading: Reading, mark: str, of, unknown: Column) -> Column:
+    """What `of` gives for the row's delimiter."""
+    known, name = reading.candidates, F.col(mark)
+    return reduce(lambda e, c: e.when(name == c.name, of(c)), known[1:], F.when(name == known[0].name, of(known[0]))).otherwise(unknown)
+
+
+def with_marks(df: DataFrame, source: list[str], field: str, reading: Reading) -> DataFrame:
+    """df with `_mark`, the delimiter that its field is split by, and `_own`: whether that isn't the source's. Null fields are
+    left out. Delimiters are sent to all tasks only after their number was found to be at most SENT_SOURCES."""
+    text = F.col(field)
+    rows = df.where(text.isNotNull())
+    marks = delimiters(rows, source, field, reading)
+    few = marks.limit(SENT_SOURCES + 1).collect()
     if len(few) <= SENT_SOURCES:
-        best = F.broadcast(df.sparkSession.createDataFrame(few, best.schema))
-    return join_null_safe(df, best.withColumnRenamed("mark", "_mark"), source, "left")
-
-
-def piece_pattern(marks: str) -> str:
-    """One attribute piece: key, white space, at most one `=`, white space, value, with the white space after it. A value
-    that begins with a quote runs to the next one, and the piece to the next of the marks after that; one that is never
-    closed runs to the end. Groups: 1 key, 2 and 3 the quoted value, 4 an unclosed one, 5 the plain one."""
-    key = rf"([^ \t\r\n={marks}]*+)"
-    rest = rf"[^{marks}]*+"
-    value = rf"(?:\"([^\"]*+)\"{rest}|'([^']*+)'{rest}|[\"']([\s\S]*+)|([^{marks}]*+))"
-    return rf"(?=[^ \t\r\n{marks}]){key}{WS}*+=?+{WS}*+{value}"
+        marks = F.broadcast(df.sparkSession.createDataFrame(few, marks.schema))
+    both = join_null_safe(rows.withColumn("_style", reading.style(text)), marks.withColumnRenamed("mark", "_mark"), [*source, "_style"], "left")
+    both = evaluated(both, _own=~_by_mark(reading, "_mark", lambda c: c.explains(text), F.lit(False)))
+    return both.withColumn("_mark", F.when(F.col("_own"), F.col("own")).otherwise(F.col("_mark"))).drop("own", "_style")
 
 
-#: A piece whose quoted value isn't closed within it.
-UNCLOSED = rf"^{WS}*+[^ \t\r\n=;|]*+{WS}*+=?+{WS}*+(?:\"[^\"]*+|'[^']*+)\z"
+def _items(df: DataFrame, keep: list[str], field: str, source: list[str], reading: Reading) -> DataFrame:
+    """(keep..., _own, _pos, _piece): the pieces of the fields."""
+    # Without a source all fields are of one.
+    named = {f"_src_{c}": F.col(c) for c in source} or {"_src": F.lit(0)}
+    rows = with_marks(spread(df.select(*keep, *(c.alias(n) for n, c in named.items()), F.col(field).alias("_field"))), list(named), "_field", reading)
+    text = F.col("_field")
+    return rows.select(*keep, "_own", F.posexplode(_by_mark(reading, "_mark", lambda c: c.pieces(text), F.array(text))).alias("_pos", "_piece"))
 
 
 def attribute_items(df: DataFrame, keep: list[str], attr: str, source: list[str]) -> DataFrame:
     """(keep..., pos, tag, item): the pieces of an attribute field in order, counted from 1; keep mustn't have those names.
 
-    Each source's rows, parted by the marks they hold, are split by the delimiter inferred for them. The split is kept if
-    each piece is one attribute: it is if the other candidate doesn't occur and no quoted value runs over a piece's end.
-    Other fields are read by the rule, with both marks. Null fields and fields of white space and marks give no rows, pieces
-    without value an empty item, repeated pieces a row each."""
-    rows = df.where(F.col(attr).isNotNull()).select(*keep, *(F.col(c).alias(f"_src_{c}") for c in source), F.col(attr).alias("_field"))
-    rows = rows.withColumn("_style", style(F.col("_field"), ATTRIBUTE_MARKS))
-    rows = with_mark(rows, [*(f"_src_{c}" for c in source), "_style"], "_field", ATTRIBUTES)
-
-    pattern = piece_pattern(";|")
-    cut = reduce(lambda e, m: e.when(F.col("_mark") == m, F.split("_field", "\\Q" + m + "\\E")), ATTRIBUTE_MARKS, F.when(F.lit(False), F.array("_field"))).otherwise(F.array("_field"))
-    alone = reduce(lambda e, i: e.when(F.col("_mark") == ATTRIBUTE_MARKS[i], F.col("_style").bitwiseAND(~(1 << i)) == 0), range(len(ATTRIBUTE_MARKS)), F.when(F.lit(False), True)).otherwise(False)
-    rows = evaluated(rows, _cut=F.when(alone, F.filter(cut, lambda p: p.rlike(r"[^ \t\r\n]"))))
-    whole = F.col("_cut").isNotNull() & ~F.exists("_cut", lambda p: p.rlike(UNCLOSED))
-    pieces = F.transform(
-        F.when(whole, F.col("_cut")).otherwise(F.regexp_extract_all("_field", F.lit(pattern), F.lit(0))),
-        lambda p: F.struct(
-            F.regexp_extract(p, pattern, 1).alias("tag"),
-            F.concat(*(F.regexp_extract(p, pattern, g) for g in (2, 3)), F.rtrim(F.concat(*(F.regexp_extract(p, pattern, g) for g in (4, 5))), F.lit(" \t\r\n"))).alias("item"),
-        ),
-    )
-    return rows.select(*keep, F.posexplode(pieces).alias("_pos", "_piece")).select(*keep, (F.col("_pos") + 1).alias("pos"), "_piece.tag", "_piece.item")
+    Fields are split by the delimiter inferred for their source, or for its fields in their style. Null fields and fields of
+    white space and marks give no rows, pieces without value an empty item, repeated pieces a row each. A field of any length
+    is read in linear time."""
+    blank, piece = F.lit(BLANK), F.col("_piece")
+    rows = _items(df, keep, attr, source, ATTRIBUTES)
+    rows = rows.withColumn("tag", F.substring_index(F.translate(piece, BLANK, "=" * len(BLANK)), "=", 1))
+    rest = F.ltrim(F.substr(piece, F.length("tag") + 1), blank)
+    rest = F.ltrim(F.when(F.startswith(rest, F.lit("=")), F.substr(rest, F.lit(2))).otherwise(rest), blank)
+    rows = rows.withColumn("_rest", rest)
+    rest, first = F.col("_rest"), F.left("_rest", F.lit(1))
+    close = F.expr("locate(left(_rest, 1), _rest, 2)")
+    item = F.when(~first.isin('"', "'"), F.rtrim(rest, blank)).when(close > 0, F.substr(rest, F.lit(2), close - 2)).otherwise(F.rtrim(F.substr(rest, F.lit(2)), blank))
+    return rows.select(*keep, (F.col("_pos") + 1).alias("pos"), "tag", item.alias("item"))
 
 
 def number_items(df: DataFrame, keep: list[str], field: str, source: list[str]) -> DataFrame:
     """(keep..., pos, item): the numbers of a packed list in order, counted from 1, as their digits.
 
-    A list is split by the delimiter inferred for its source (the given columns and the marks its rows hold); brackets,
-    quotes and blanks around a number are dropped. The split is kept if each piece that isn't blank is one number so
-    dressed; other lists are read by the rule, which takes every run of digits. Null and empty lists give no rows."""
-    rows = df.where(F.col(field).isNotNull()).select(*keep, *(F.col(c).alias(f"_src_{c}") for c in source), F.col(field).alias("_field"))
-    rows = rows.withColumn("_style", style(F.col("_field"), NUMBERS.marks))
-    rows = with_mark(rows, [*(f"_src_{c}" for c in source), "_style"], "_field", NUMBERS)
-    split = reduce(lambda e, m: e.when(F.col("_mark") == m, F.split("_field", "\\Q" + m + "\\E")), NUMBERS.marks, F.when(F.lit(False), F.array("_field"))).otherwise(F.array("_field"))
-    rows = evaluated(rows, _cut=F.filter(split, lambda p: F.trim(p) != ""))
-    whole = F.forall("_cut", lambda p: p.rlike(NUMBERS.regular))
-    items = F.when(whole, F.transform("_cut", lambda p: F.regexp_extract(p, "[0-9]+", 0))).otherwise(digits("_field"))
-    return rows.select(*keep, F.posexplode(items).alias("_pos", "item")).select(*keep, (F.col("_pos") + 1).alias("pos"), "item")
+    Lists are split by the delimiter inferred for their source, or for its lists in their style; brackets, quotes and blanks
+    around a number are dropped. Null and empty lists give no rows."""
+    rows = _items(df, keep, field, source, NUMBERS).withColumn("item", F.translate("_piece", DRESSING, ""))
+    return rows.select(*keep, (F.col("_pos") + 1).alias("pos"), "item")
 
 
 def unpacked(gff: DataFrame, genepred: DataFrame) -> DataFrame:
-    """(tbl, row_id, pos, tag, item) for gff_attr of gff and exonstarts of genepred."""
-    attributes = attribute_items(gff, ["row_id"], "gff_attr", ["organism", "dialect"])
-    starts = number_items(genepred, ["row_id"], "exonstarts", ["organism"])
-    return attributes.select(F.lit("gff").alias("tbl"), "row_id", "pos", "tag", "item").unionByName(
-        starts.select(F.lit("genepred").alias("tbl"), "row_id", "pos", F.lit("").alias("tag"), "item")
+    """(tbl, row_id, pos, tag, item) for gff_attr of gff and exonstarts of genepred, whose delimiters are inferred at the same time."""
+    with ThreadPoolExecutor(2) as at_once:
+        attributes = at_once.submit(attribute_items, gff, ["row_id"], "gff_attr", ["organism", "dialect"])
+        starts = at_once.submit(number_items, genepred, ["row_id"], "exonstarts", ["organism"])
+    return (
+        attributes.result()
+        .select(F.lit("gff").alias("tbl"), "row_id", "pos", "tag", "item")
+        .unionByName(starts.result().select(F.lit("genepred").alias("tbl"), "row_id", "pos", F.lit("").alias("tag"), "item"))
     )

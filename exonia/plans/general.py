@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exonia.operators import intervals, packed, records, references
-from exonia.session import table
+from exonia.session import join_null_safe, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +48,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores of the candidate delimiters for each organism's exon lists."""
-    s = packed.scores(table(spark, sf_dir, "genepred"), ["organism"], "exonstarts", packed.NUMBERS)
-    return s.select("organism", "mark", "fields", F.round("score", 6).alias("score"))
+    """The scores of the candidate delimiters for each source of both packed fields, and which one the source's fields are split by."""
+
+    def scored(name: str, field: str, source: list[str], reading: packed.Reading) -> DataFrame:
+        counted = packed.cells(table(spark, sf_dir, name), source, field, reading)
+        s = packed.scores(counted, source, reading)
+        best = packed.inferred(counted, source, reading).withColumn("chosen", F.lit(True))
+        every = join_null_safe(s, best, [*source, "mark"], "left")
+        dialect = F.col("dialect") if "dialect" in source else F.lit("")
+        rounded = (F.round(c, 6).alias(c) for c in ("consistency", "regularity"))
+        return every.select(F.lit(name).alias("tbl"), "organism", dialect.alias("dialect"), "mark", "fields", *rounded, F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+    attributes = scored("gff", "gff_attr", ["organism", "dialect"], packed.ATTRIBUTES)
+    return attributes.unionByName(scored("genepred", "exonstarts", ["organism"], packed.NUMBERS))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_faults, p1_resumed, p3_found, p4_found, p4_report, p5_found, p5_delimiters)}
@@ -75,6 +85,44 @@ def _pieces(attr: str) -> str:
                     WHEN {opened} THEN true ELSE contains(q.v, chr(34)) END}})"""
 
 
+def _delimiter_scores(name: str, field: str, source: str, dialect: str, candidates: list[tuple[str, str, str]], marks: str) -> str:
+    """SQL: the rows of p5_delimiters for one table; candidates: (mark, number of pieces, whether all are regular)."""
+    style = " + ".join(f"CASE WHEN contains({field}, {_text(m)}) THEN {1 << i} ELSE 0 END" for i, m in enumerate(marks))
+    each = ", ".join(f"{{'k': {i}, 'mark': {_text(m)}, 'bit': {1 << i if len(m) == 1 else -1}, 'n': {n}, 'good': {good}}}" for i, (m, n, good) in enumerate(candidates))
+    return f"""
+      SELECT '{name}' AS tbl, organism, {dialect} AS dialect, mark, fields, round(consistency, 6) AS consistency, round(regularity, 6) AS regularity,
+        k < {len(marks)} AND row_number() OVER (PARTITION BY {source} ORDER BY (k < {len(marks)}) DESC, consistency * regularity DESC, k) = 1 AS chosen
+      FROM (SELECT {source}, c.k AS k, c.mark AS mark, count(*) AS fields, avg(c.good::INT) AS regularity,
+          avg((style = 0 OR style & c.bit <> 0)::INT) / (1 + coalesce(sqrt(greatest(0, sum(c.n * c.n) / count(*) - (sum(c.n) / count(*)) ^ 2)) / nullif(sum(c.n) / count(*), 0), 0)) AS consistency
+        FROM (SELECT {source}, {style} AS style, unnest([{each}]) AS c FROM {name} WHERE {field} IS NOT NULL) GROUP BY ALL)"""
+
+
+def _text(s: str) -> str:
+    """SQL: a string of marks."""
+    return "chr(9)" if s == "\t" else f"'{s}'"
+
+
+def _attribute_candidate(m: str) -> tuple[str, str, str]:
+    blank = r" \t\r\n"
+    value = rf"""(?:"[^"]*"|''[^'']*''|[^{blank};|"''][^;|"]*)"""
+    bare = value.replace(f"[^{blank};", f"[^{blank}=;")
+    piece = rf"""[^{blank}=;|"'']+(?:[{blank}]*=[{blank}]*{value}|[{blank}]+{bare})[{blank}]*"""
+    regular = rf"[{blank}{m}]*(?:{piece}(?:[{m}][{blank}{m}]*|\z))*"
+    trimmed = f"trim(gff_attr, {_TRIM} || '{m}')"
+    plain = f"CASE WHEN {trimmed} = '' THEN 0 ELSE len(string_split_regex({trimmed}, '[{m}][{blank}{m}]*')) END"
+    quoted = f"contains(gff_attr, chr(34)) OR contains(gff_attr, chr(39))"
+    return m, f"CASE WHEN {quoted} THEN len(regexp_extract_all(gff_attr, '{_PIECE.replace(';|', m)}')) ELSE {plain} END", f"regexp_full_match(gff_attr, '{regular}')"
+
+
+def _number_candidate(m: str) -> tuple[str, str, str]:
+    dressing = "".join(rf"\{c}" for c in "{}[]()") + r" \t\r\n\"''"
+    own = dressing.replace(" ", "") if m == " " else dressing.replace(r"\t", "") if m == "\t" else dressing
+    mark = r"\t" if m == "\t" else rf"\{m}" if m == "|" else m
+    trimmed = f"trim(exonstarts, {_TRIM} || '{{}}[]()' || chr(34) || chr(39) || {_text(m)})"
+    n = f"CASE WHEN {trimmed} = '' THEN 0 ELSE len(string_split_regex({trimmed}, '{mark}[{dressing}{mark}]*')) END"
+    return m, n, f"regexp_full_match(exonstarts, '[{dressing}{mark}]*(?:[0-9]+[{own}]*(?:{mark}[{dressing}{mark}]*|\\z))*')"
+
+
 _EXONS = """
   SELECT row_id, organism, chrom, gene, strand, unnest(s)::BIGINT AS pos_start, unnest(e)::BIGINT AS pos_end
   FROM (SELECT *, regexp_extract_all(exonstarts, '[0-9]+') AS s, regexp_extract_all(exonends, '[0-9]+') AS e FROM genepred)
@@ -127,4 +175,7 @@ ORACLE = {
       FROM (SELECT row_id, unnest(ps) AS q, generate_subscripts(ps, 1) AS pos FROM (SELECT row_id, {_pieces("gff_attr")} AS ps FROM gff WHERE gff_attr IS NOT NULL))
       UNION ALL SELECT 'genepred', row_id, pos::INT, '', item
       FROM (SELECT row_id, unnest(x) AS item, generate_subscripts(x, 1) AS pos FROM (SELECT row_id, regexp_extract_all(exonstarts, '[0-9]+') AS x FROM genepred WHERE exonstarts IS NOT NULL))""",
+    "p5_delimiters": _delimiter_scores("gff", "gff_attr", "organism, dialect", "dialect", [_attribute_candidate(m) for m in (";", "|", ";|")], ";|")
+    + " UNION ALL "
+    + _delimiter_scores("genepred", "exonstarts", "organism", "''", [*map(_number_candidate, ",;|/\t "), ("other", "len(regexp_extract_all(exonstarts, '[0-9]+'))", "true")], ",;|/\t "),
 }

@@ -77,9 +77,10 @@ def cores(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, with its rows moved to other tasks only where it has fewer splits than there are cores, as one small file has."""
+    """df, with its rows moved to other tasks only where it has fewer splits than there are cores, as one small file has. How many
+    tasks is left to adaptive execution, which goes by the bytes."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    return df.hint("rebalance") if df.rdd.getNumPartitions() < n else df
 
 
 def evaluated(df: DataFrame, **columns: Column) -> DataFrame:

@@ -67,29 +67,57 @@ def test_numbers_in_every_notation(spark):
         assert sorted(got.get(i, [])) == list(enumerate(re.findall("[0-9]+", f or ""), 1)), f
 
 
+def chosen(df, reading):
+    return {x.s: x.mark for x in packed.inferred(packed.cells(df, ["s"], "f", reading), ["s"], reading).collect()}
+
+
 def test_inferred_delimiters(spark):
     df = spark.createDataFrame([("a", "1;2;3"), ("a", "4;5"), ("a", "6"), ("b", "1, 2"), ("b", "3, 4, 5"), ("c", None)], "s string, f string")
-    got = {x.s: x.mark for x in packed.inferred(df, ["s"], "f", packed.NUMBERS).collect()}
-    assert got == {"a": ";", "b": ","}
+    assert chosen(df, packed.NUMBERS) == {"a": ";", "b": ","}
 
 
 def test_even_piece_counts_decide(spark):
-    # Every piece is regular by both marks; only the numbers of pieces tell them apart: always 3 by |, 2 to 6 by ;.
-    fields = ["a=1;b=2|c=3|d=4", "a=1;b=2|c=3;d=4|e=5;f=6", "a=1;b=2;c=3|d=4;e=5;f=6|g=7;h=8"]
+    # Half of the fields are regular by either mark; only the numbers of pieces tell them apart: always 3 by |, 2 to 6 by ;.
+    fields = ["a=1;b=2", "a=1;b=2;c=3;d=4;e=5;f=6", "a=1|b=2|c=3", "d=4|e=5|f=6"]
     df = spark.createDataFrame([(1, f) for f in fields], "s int, f string")
-    got = {x.mark: x for x in packed.scores(df, ["s"], "f", packed.ATTRIBUTES).collect()}
-    assert got[";"].regularity == got["|"].regularity == 1.0
-    assert got["|"].consistency == 1.0 and got[";"].consistency < 0.8
-    assert packed.inferred(df, ["s"], "f", packed.ATTRIBUTES).first().mark == "|"
+    got = {x.mark: x for x in packed.scores(packed.cells(df, ["s"], "f", packed.ATTRIBUTES), ["s"], packed.ATTRIBUTES).collect()}
+    assert got[";"].regularity == got["|"].regularity == 0.5
+    assert got["|"].consistency > got[";"].consistency
+    assert chosen(df, packed.ATTRIBUTES) == {1: "|"}
 
 
-def test_the_split_gives_pieces_only_where_each_is_one_value(spark):
-    fields = ["a=1|b=2", 'a="x|y"|b=2', "a='x|b=2", "a=1;b=2|c=3", " | a = 1 | ", "a='x'|b='y"]
-    df = spark.createDataFrame([(i, f, 1) for i, f in enumerate(fields)], "row_id int, f string, s int")
+def items(df):
     got = {}
     for x in packed.attribute_items(df, ["row_id"], "f", ["s"]).collect():
         got.setdefault(x.row_id, []).append((x.pos, x.tag, x.item))
-    assert {i: [x[1:] for x in sorted(v)] for i, v in got.items()} == {i: scan(f) for i, f in enumerate(fields)}
+    return {i: [x[1:] for x in sorted(v)] for i, v in got.items()}
+
+
+FIELDS = [*["a=1;b=2"] * 6, "a=1;b=2;c=3", "a=1|b=2", 'a="x|y"|b=2', "a='x|b=2", "a=1;b=2|c=3", " | a = 1 | ", "a='x'|b='y", "a=1;;b=2;"]
+
+
+def test_fields_of_other_hands_have_their_own_delimiter(spark):
+    df = spark.createDataFrame([(i, f, 1) for i, f in enumerate(FIELDS)], "row_id int, f string, s int")
+    assert items(df) == {i: scan(f) for i, f in enumerate(FIELDS)}
+    marks = {(x._style, x.mark, x.own) for x in packed.delimiters(df, ["s"], "f", packed.ATTRIBUTES).collect()}
+    assert marks == {(1, ";", None), (2, ";", ";|"), (3, ";", ";|")}
+
+
+def test_a_wrong_delimiter_gives_wrong_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f, 1) for i, f in enumerate(FIELDS)], "row_id int, f string, s int")
+    right, real = items(df), packed.inferred
+    for wrong in ("|", "#"):
+        monkeypatch.setattr(packed, "inferred", lambda *args, wrong=wrong, **more: real(*args, **more).withColumn("mark", packed.F.lit(wrong)))
+        assert items(df) != right
+    numbers = spark.createDataFrame([(1, "1,2"), (2, "3;4")], "row_id int, f string")
+    assert [x.item for x in packed.number_items(numbers, ["row_id"], "f", []).collect()] == ["1,2", "3;4"]
+
+
+def test_very_long_fields(spark):
+    fields = [";".join(f"k{i}=v" for i in range(50_000)), "a=" + " " * 60_000 + ";b=2", "'" * 20_001]
+    df = spark.createDataFrame([(i, f, i) for i, f in enumerate(fields)], "row_id int, f string, s int")
+    got = items(df)
+    assert len(got[0]) == 50_000 and got[1] == [("a", ""), ("b", "2")] and len(got[2]) == 1
 
 
 def test_many_sources_are_joined(spark, monkeypatch):
