@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exonia.session import evaluated, join_null_safe, spread
+from exonia.session import evaluated, join_null_safe, spread, stored
 
 #: Most sources whose inferred delimiters are sent to all tasks; more of them are joined by shuffling.
 SENT_SOURCES = 4096
@@ -147,7 +147,7 @@ def inferred(counted: DataFrame, source: list[str], reading: Reading, mixed: boo
 def delimiters(df: DataFrame, source: list[str], field: str, reading: Reading) -> DataFrame:
     """(source..., _style, mark, own): for each source and set of marks the source's delimiter, and the one of those fields that it
     doesn't explain (null if there are none)."""
-    counted = cells(df, source, field, reading)
+    counted = stored(cells(df, source, field, reading), "cells")
     first = join_null_safe(counted, inferred(counted, source, reading).withColumnRenamed("mark", "_first"), source, "left")
     left = first.where(F.col("_good").bitwiseAND(reading.bit(F.col("_first"))) == 0)
     own = inferred(left, [*source, "_style"], reading, mixed=True).withColumnRenamed("mark", "own")

@@ -1,14 +1,15 @@
 """Problem 1: rows that fail to parse.
 
-Method: an error-recovering recursive-descent grammar of annotation records. Each rule reads what it can, notes errors
-with their place, and goes on; after a broken quote reading resumes at the next validated anchor: within a record at the
-next piece that starts like an attribute, in texts or files of many lines at the next line that starts like a record. Lines
-passed over on the way have a fault each."""
+Method: an error-recovering recursive-descent grammar of annotation records, over runs of lines. Each rule reads what it
+can, notes errors with their place, and goes on; after a broken quote reading resumes at the next validated anchor: within a
+record at the next piece that starts like an attribute, in the run at the next line that starts like a record. Lines passed
+over on the way are judged again, as records of their own."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -27,11 +28,13 @@ UNCLOSED, PASSED_OVER = "quote isn't closed", "after a quote that isn't closed"
 BLOCK_LINES = 1 << 16
 
 _SEQID = re.compile(r"(?:[A-Za-z0-9.:^*$@!+_?|-]|%[0-9A-Fa-f]{2})+")
+#: ASCII numbers; integers of up to 18 digits.
+_INTEGER, _REAL = re.compile(r"[-+]?[0-9]{1,18}"), re.compile(r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?")
 _KEY = re.compile(r"[^ \t\r\n=;|]*")
 _EQUALS = re.compile(r"[ \t\r\n]*=?[ \t\r\n]*")
 _BETWEEN = re.compile(r"[ \t\r\n;|]*")
 _PLAIN = re.compile(r"[^;|]*")
-_PIECE_ANCHOR = re.compile(r"[;|][ \t\r\n]*(?=[A-Za-z_][A-Za-z0-9_.]*(?:[ \t]*=|[ \t]+[\"'\w]))")
+_PIECE_ANCHOR = re.compile(r"[;|][ \t\r\n]*(?=[A-Za-z_][A-Za-z0-9_.]*(?:[ \t]*=|[ \t]+[\"'A-Za-z0-9_]))")
 _RECORD_ANCHOR = re.compile(r"[^\t\n]+\t[^\t\n]*\t[^\t\n]*\t[ ]*[0-9]+[ ]*\t[ ]*[0-9]+[ ]*\t[^\t\n]*\t[ ]*[-+.][ ]*\t[^\t\n]*\t")
 
 
@@ -128,27 +131,32 @@ def resumes(line: str) -> bool:
     return not text or text[0] == "#" or bool(_RECORD_ANCHOR.match(text))
 
 
-def read_text(text: str, dialect: str | None) -> Iterator[tuple[int, Record]]:
-    """(number of the first line, record) of a text of many lines. Where a quote is broken, the lines up to the next
-    validated record start or comment belong to the broken record: its faults say where it began and where each such line is,
-    with the faults that the line has by itself. They are of its quoting."""
-    lines = text.split("\n")
+def read_lines(lines: list[str | None], dialect: str | None) -> Iterator[tuple[int, Record, int | None]]:
+    """(number of the line, record, number of the broken record's line) of a run of lines, read as one text.
+
+    Where a record's quote is broken, reading goes on at the next validated record start, comment or blank line. The lines
+    passed over on the way are then judged again as records of their own; they say which line was broken."""
     i = 0
     while i < len(lines):
-        first, record = i, read_line(lines[i], dialect)
-        i += 1
-        if record is None:
-            continue
+        record = read_line(lines[i], dialect)
+        if record is not None:
+            yield i, record, None
+        at = i + 1
         if is_broken(record):
-            at = len(lines[first].lstrip(WHITE)) + 1
-            while i < len(lines) and not resumes(lines[i]):
-                lead = len(lines[i]) - len(lines[i].lstrip(WHITE))
-                own = read_line(lines[i], dialect).faults
-                record.faults.append(Fault("quoting", 0, at + lead, PASSED_OVER))
-                record.faults.extend(Fault("quoting", f.column, at + lead + f.offset, f"{PASSED_OVER}: {f.message}") for f in own)
-                at += len(lines[i]) + 1
-                i += 1
-        yield first, record
+            while at < len(lines) and not resumes(lines[at] or ""):
+                at += 1
+            for j in range(i + 1, at):
+                yield j, read_line(lines[j], dialect), i
+        i = at
+
+
+def runs(*keys: list) -> Iterator[tuple[int, int]]:
+    """The ranges of neighbours that are equal in all lists."""
+    at = 0
+    for _, own in groupby(zip(*keys, strict=True)):
+        n = sum(1 for _ in own)
+        yield at, at + n
+        at += n
 
 
 ATTRIBUTES = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
@@ -158,16 +166,12 @@ PARSED = "seqid string, source string, type string, `start` bigint, `end` bigint
 PARSED_NAMES = ("seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes", "reason", "faults")
 
 
-def _number(kind, text: str):
-    try:
-        return kind(text)
-    except ValueError:
-        return None
+def _integer(text: str) -> int | None:
+    return int(text) if _INTEGER.fullmatch(text) else None
 
 
-def _integer(text: str) -> int | None:
-    n = _number(int, text)
-    return n if n is not None and abs(n) < 1 << 62 else None
+def _real(text: str) -> float | None:
+    return float(text) if _REAL.fullmatch(text) else None
 
 
 def parsed_columns(records: list[Record]) -> list[pa.Array]:
@@ -179,54 +183,59 @@ def parsed_columns(records: list[Record]) -> list[pa.Array]:
     reasons = [next((q for q in REASONS if any(f.reason == q for f in r.faults)), None) if r.faults else None for r in records]
     return [
         text(0), text(1), text(2), number(3, _integer, pa.int64()), number(4, _integer, pa.int64()),
-        number(5, lambda s: _number(float, s), pa.float64()), text(6), number(7, phase, pa.int32()),
+        number(5, _real, pa.float64()), text(6), number(7, phase, pa.int32()),
         pa.array([[{"key": k, "value": v} for k, v in r.attributes] for r in records], ATTRIBUTES),
         pa.array(reasons, pa.string()),
         pa.array([[f._asdict() for f in r.faults] for r in records], FAULTS),
     ]
 
 
-def parse_lines(df: DataFrame, line_id: str = "line_id", line: str = "line", dialect: str = "dialect") -> DataFrame:
-    """One row per record: the id, the typed columns, `reason` (null: the record is valid) and all located `faults`.
+def parse_lines(df: DataFrame, line_id: str = "line_id", line: str = "line", dialect: str = "dialect", file: str | None = None) -> DataFrame:
+    """One row per record: the id, the typed columns, `reason` (null: the record is valid) and all located `faults`, with
+    offsets from the record's start.
 
-    Null, empty, blank and comment lines are no records. A line with several faults has the first of columns, quoting,
-    value as its reason. A dialect that is null or unknown has no identifier, so its records fail by value. Repeated
-    lines come out each. Of the table's columns only the three named are read."""
+    Neighbouring lines of one dialect (and file, if its column is named) are read as one text, by read_lines. Null, empty, blank
+    and comment lines are no records. A line with several faults has the first of columns, quoting, value as its reason. A
+    dialect that is null or unknown has no identifier, so its records fail by value. Repeated lines come out each. Of the
+    table's columns only those named are read. Which lines are neighbours makes no difference to the rows."""
 
     def parse(batches):
         for b in batches:
-            ids, records = [], []
-            for i, text, kind in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if (r := read_line(text, kind)) is not None:
-                    ids.append(i)
+            lines, kinds = b.column(1).to_pylist(), b.column(2).to_pylist()
+            places, records = [], []
+            for lo, hi in runs(kinds, *(c.to_pylist() for c in b.columns[3:])):
+                for i, r, _ in read_lines(lines[lo:hi], kinds[lo]):
+                    places.append(lo + i)
                     records.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), *parsed_columns(records)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places, pa.int64())), *parsed_columns(records)], names)
 
     key = df.schema[line_id].dataType.simpleString()
     names = [line_id, *PARSED_NAMES]
-    return df.select(line_id, line, dialect).mapInArrow(parse, f"{line_id} {key}, {PARSED}")
+    return df.select(line_id, line, dialect, *([file] if file else [])).mapInArrow(parse, f"{line_id} {key}, {PARSED}")
 
 
 def parse_texts(df: DataFrame, text_id: str, text: str, dialect: str) -> DataFrame:
-    """As parse_lines, for texts of many lines each, with `line_no` (from 1) of each record within its text."""
+    """As parse_lines, for texts of many lines each, with `line_no` (from 1) of each record within its text and `broken_no`, the
+    number of the line whose broken quote the record follows."""
 
     def parse(batches):
         for b in batches:
-            ids, numbers, records = [], [], []
+            ids, numbers, broken, records = [], [], [], []
             for i, body, kind in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for n, r in read_text(body or "", kind):
+                for n, r, after in read_lines((body or "").split("\n"), kind):
                     ids.append(i)
                     numbers.append(n + 1)
+                    broken.append(None if after is None else after + 1)
                     records.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(numbers, pa.int32()), *parsed_columns(records)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(broken, pa.int32()), *parsed_columns(records)], names)
 
     key = df.schema[text_id].dataType.simpleString()
-    names = [text_id, "line_no", *PARSED_NAMES]
-    return df.select(text_id, text, dialect).mapInArrow(parse, f"{text_id} {key}, line_no int, {PARSED}")
+    names = [text_id, "line_no", "broken_no", *PARSED_NAMES]
+    return df.select(text_id, text, dialect).mapInArrow(parse, f"{text_id} {key}, line_no int, broken_no int, {PARSED}")
 
 
 def resumed_lines(df: DataFrame, file: str = "file_name", line_no: str = "line_no", line_id: str = "line_id", line: str = "line", dialect: str = "dialect", block: int = BLOCK_LINES) -> DataFrame:
-    """(id, file, number, faults, broken_no): the records among the lines of files, as read_text reads a file's lines.
+    """(id, file, number, faults, broken_no): the records among the lines of files, as read_lines reads a file's lines.
 
     A line after a broken quote, up to the next validated record start, comment or blank line of the same file, has the
     number of the broken record's line in broken_no and, before its own faults, one that says so; for others broken_no is

@@ -9,18 +9,22 @@ from exonia.operators import intervals, packed, records, references
 from exonia.session import join_null_safe, table
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.parse_lines(table(spark, sf_dir, "gff_raw"), file="file_name")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.faulty(records.parse_lines(table(spark, sf_dir, "gff_raw"))).select("line_id", "reason")
+    return records.faulty(_parsed(spark, sf_dir)).select("line_id", "reason")
 
 
 def p1_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = records.valid(records.parse_lines(table(spark, sf_dir, "gff_raw")))
+    parsed = records.valid(_parsed(spark, sf_dir))
     return parsed.select("line_id", "seqid", "type", "start", "end", "strand", F.size("attributes").cast("bigint").alias("n_attributes"))
 
 
 def p1_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Located faults of every failing line."""
-    bad = records.faulty(records.parse_lines(table(spark, sf_dir, "gff_raw")))
+    bad = records.faulty(_parsed(spark, sf_dir))
     return bad.select("line_id", F.posexplode("faults").alias("nth", "f")).select("line_id", "nth", "f.reason", F.col("f.column").alias("column_no"), "f.offset", "f.message")
 
 
@@ -140,6 +144,44 @@ _P1 = f"""
         OR NOT coalesce(list_bool_or(list_transform(ps, lambda q: q.k = CASE dialect WHEN 'gff3' THEN 'ID' WHEN 'gtf' THEN 'transcript_id' WHEN 'jgi' THEN 'proteinId' END)), false)
         THEN 'value' END AS reason FROM p)"""
 
+#: f(line_id, nth, reason, column_no, off, message): the faults of each record in order; pieces are taken off the attributes one by
+#: one, after a quote that isn't closed up to the next piece that starts like an attribute. broken(line_id): such records.
+_SEP = f"{_TRIM} || ';|'"
+_FAULTS = f"""
+  WITH RECURSIVE t AS (SELECT line_id, dialect, trim(line, {_TRIM}) AS x FROM gff_raw),
+  r AS (SELECT line_id, dialect, x, string_split(x, chr(9)) AS c FROM t WHERE x <> '' AND left(x, 1) <> '#'),
+  nine AS (SELECT *, length(x) - length(c[9]) AS start FROM r WHERE len(c) = 9),
+  steps AS (
+    SELECT line_id, 0 AS k, ltrim(c[9], {_SEP}) AS rest, start + length(c[9]) - length(ltrim(c[9], {_SEP})) AS off, '' AS key, [{{'reason': '', 'column_no': 9, 'off': 0::BIGINT, 'message': ''}}][2:] AS faults FROM nine
+    UNION ALL
+    SELECT line_id, k + 1, ltrim(after, {_SEP}), off + length(rest) - length(ltrim(after, {_SEP})), key, list_filter([
+        {{'reason': CASE WHEN contains(key, chr(34)) THEN 'quoting' END, 'column_no': 9, 'off': off::BIGINT, 'message': 'quote in a key'}},
+        {{'reason': CASE WHEN key = '' THEN 'value' END, 'column_no': 9, 'off': off::BIGINT, 'message': 'empty key'}},
+        {{'reason': CASE WHEN kind = 'open' OR kind = 'closed' AND trim(tail, {_TRIM}) <> '' OR kind = 'plain' AND contains(value, chr(34)) THEN 'quoting' END, 'column_no': 9,
+          'off': (begin + CASE kind WHEN 'open' THEN 0 WHEN 'closed' THEN length(value) + 2 ELSE instr(value, chr(34)) - 1 END)::BIGINT, 'message': CASE kind WHEN 'open' THEN 'quote isn''t closed' WHEN 'closed' THEN 'text after a closing quote' ELSE 'quote in a value' END}},
+        {{'reason': CASE WHEN value = '' THEN 'value' END, 'column_no': 9, 'off': begin::BIGINT, 'message': 'empty value'}}], lambda z: z.reason IS NOT NULL)
+    FROM (
+      SELECT *, CASE kind WHEN 'closed' THEN substr(v, length(value) + 3 + length(tail)) WHEN 'open' THEN substr(v, length(taken) + 1) ELSE substr(v, length(taken) + 1) END AS after
+      FROM (
+        SELECT *, CASE kind WHEN 'closed' THEN regexp_extract(v, '{_CLOSED}', 1) || regexp_extract(v, '{_CLOSED}', 2) WHEN 'open' THEN rtrim(substr(taken, 2), {_TRIM}) ELSE rtrim(taken, {_TRIM}) END AS value,
+          CASE kind WHEN 'closed' THEN regexp_extract(v, '{_CLOSED[1:]}([^;|]*)', 3) ELSE '' END AS tail
+        FROM (
+          SELECT *, CASE kind WHEN 'closed' THEN '' WHEN 'open' THEN CASE WHEN regexp_matches(v, '{{ANCHOR}}') THEN regexp_extract(v, '^(?s:(.*?)){{ANCHOR}}', 1) ELSE v END ELSE regexp_extract(v, '^[^;|]*') END AS taken
+          FROM (
+            SELECT *, off + length(rest) - length(v) AS begin, CASE WHEN regexp_matches(v, '{_CLOSED}') THEN 'closed' WHEN left(v, 1) IN (chr(34), chr(39)) THEN 'open' ELSE 'plain' END AS kind
+            FROM (SELECT line_id, k, rest, off, regexp_extract(rest, '{_KEY}') AS key, regexp_replace(rest, '{_HEAD}', '') AS v FROM steps WHERE rest <> ''))))),
+  ),
+  own AS (SELECT line_id, list(key ORDER BY k) FILTER (WHERE k > 0) AS keys, flatten(list(faults ORDER BY k)) AS faults FROM steps GROUP BY line_id),
+  judged AS (
+    SELECT line_id, [{{'reason': 'columns', 'column_no': 0, 'off': 0::BIGINT, 'message': len(c)::VARCHAR || ' columns'}}] AS faults FROM r WHERE len(c) <> 9
+    UNION ALL
+    SELECT n.line_id, own.faults || list_filter([
+        {{'reason': CASE WHEN trim(c[7], ' ') NOT IN ('+', '-', '.') THEN 'value' END, 'column_no': 7, 'off': (list_sum(list_transform(c[1:6], lambda z: length(z))) + 6)::BIGINT, 'message': 'strand'}},
+        {{'reason': CASE WHEN NOT regexp_full_match(trim(c[1], ' '), '(?:[A-Za-z0-9.:^*$@!+_?|-]|%[0-9A-Fa-f][0-9A-Fa-f])+') THEN 'value' END, 'column_no': 1, 'off': 0::BIGINT, 'message': 'seqid'}},
+        {{'reason': CASE WHEN NOT coalesce(list_contains(keys, CASE dialect WHEN 'gff3' THEN 'ID' WHEN 'gtf' THEN 'transcript_id' WHEN 'jgi' THEN 'proteinId' END), false) THEN 'value' END, 'column_no': 9, 'off': start::BIGINT, 'message': 'no identifier'}}], lambda z: z.reason IS NOT NULL)
+    FROM nine n JOIN own ON n.line_id = own.line_id),
+  f AS (SELECT line_id, generate_subscripts(faults, 1) - 1 AS nth, unnest(faults) AS q FROM judged)""".replace("{ANCHOR}", r"""[;|][ \t\r\n]*[A-Za-z_][A-Za-z0-9_.]*(?:[ \t]*=|[ \t]+["''A-Za-z0-9_])""").replace("))))),\n  )", ")))))\n  )")
+
 _P4 = """
   WITH refs AS (
     SELECT 'gff' AS tbl, row_id, organism AS org, trim(gff_seqid, ' ') AS name, loaded_at AS t FROM gff WHERE trim(gff_seqid, ' ') <> ''
@@ -160,6 +202,16 @@ ORACLE = {
     "p1_valid": _P1
     + """ SELECT line_id, trim(c[1], ' ') AS seqid, trim(c[3], ' ') AS type, try_cast(trim(c[4], ' ') AS BIGINT) AS "start", try_cast(trim(c[5], ' ') AS BIGINT) AS "end",
       trim(c[7], ' ') AS strand, len(ps)::BIGINT AS n_attributes FROM j WHERE reason IS NULL""",
+    "p1_faults": _FAULTS + " SELECT line_id, nth::INT AS nth, q.reason AS reason, q.column_no::INT AS column_no, q.off::INT AS \"offset\", q.message AS message FROM f",
+    "p1_resumed": _FAULTS
+    + r""", line AS (SELECT g.line_id, file_name, line_no, x = '' OR left(x, 1) = '#' OR regexp_matches(x, '^[^\t\n]+\t[^\t\n]*\t[^\t\n]*\t[ ]*[0-9]+[ ]*\t[ ]*[0-9]+[ ]*\t[^\t\n]*\t[ ]*[-+.][ ]*\t[^\t\n]*\t') AS stops,
+        g.line_id IN (SELECT line_id FROM f WHERE q.message = 'quote isn''t closed') AS broken FROM gff_raw g JOIN (SELECT line_id, coalesce(x, '') AS x FROM t) USING (line_id)),
+      held AS (SELECT *, last_value(CASE WHEN broken THEN line_no WHEN stops THEN -1 END IGNORE NULLS) OVER (PARTITION BY file_name ORDER BY line_no, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM line),
+      after_ AS (SELECT line_id, CASE WHEN NOT stops AND before > 0 THEN before END AS broken_no FROM held),
+      every AS (
+        SELECT f.line_id, a.broken_no, nth + (a.broken_no IS NOT NULL)::INT AS nth, q FROM f JOIN after_ a USING (line_id)
+        UNION ALL SELECT line_id, broken_no, 0, {'reason': 'quoting', 'column_no': 0, 'off': 0::BIGINT, 'message': 'after a quote that isn''t closed'} FROM after_ JOIN r USING (line_id) WHERE broken_no IS NOT NULL)
+      SELECT line_id, broken_no::INT AS broken_no, nth::INT AS nth, q.reason AS reason, q.column_no::INT AS column_no, q.off::INT AS "offset", q.message AS message FROM every""",
     "p3_found": f"""
       WITH x AS (SELECT DISTINCT organism, chrom, gene, strand, pos_start, pos_end FROM ({_EXONS}) WHERE gene IS NOT NULL AND strand IS NOT NULL AND pos_end > pos_start),
       m AS (SELECT *, max(pos_end) OVER (PARTITION BY organism, chrom, gene, strand ORDER BY pos_start, pos_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),

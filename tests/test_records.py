@@ -87,21 +87,26 @@ def test_faults_are_located_and_reading_goes_on():
 def test_texts_resume_at_record_starts(spark):
     text = "\n".join(["#head", GOOD + "ID=a", GOOD + "ID='b", "loose text", "more; of it", GOOD + "ID=c", "", GOOD + "ID=d"])
     df = spark.createDataFrame([(1, text, "gff3"), (2, None, "gff3"), (3, "", None)], "file long, body string, dialect string")
-    got = sorted((r.line_no, r.reason) for r in records.parse_texts(df, "file", "body", "dialect").collect())
-    assert got == [(2, None), (3, "quoting"), (6, None), (8, None)]
+    got = sorted((r.line_no, r.reason, r.broken_no) for r in records.parse_texts(df, "file", "body", "dialect").collect())
+    assert got == [(2, None, None), (3, "quoting", None), (4, "columns", 3), (5, "columns", 3), (6, None, None), (8, None, None)]
 
 
 BROKEN = [GOOD + "ID='b", "x\ty", GOOD.replace("+", "?") + "ID=c", " " + GOOD.replace("5", "five") + "ID=d", GOOD + "ID=e"]
 
 
-def test_lines_passed_over_have_faults_of_their_own():
-    text = "\n" + "\n".join(" " + x for x in BROKEN)
-    (first, broken), (last, good) = records.read_text(text, "gff3")
-    assert (first, last, good.faults) == (1, 5, [])
-    record = text[text.index("chr1") :]
-    found = {record[f.offset :].split("\t")[0].split("\n")[0]: f.message for f in broken.faults if f.message == records.PASSED_OVER}
-    assert len([f for f in broken.faults if f.message == records.PASSED_OVER]) == 3 and set(found) == {"x", "chr1"}
-    assert {f.message for f in broken.faults} >= {f"{records.PASSED_OVER}: 2 columns", f"{records.PASSED_OVER}: strand"}
+def test_lines_passed_over_are_judged_again():
+    got = [(i, broken, [f.message for f in r.faults]) for i, r, broken in records.read_lines(["", *BROKEN], "gff3")]
+    assert got == [(1, None, ["quote isn't closed"]), (2, 1, ["2 columns"]), (3, 1, ["strand"]), (4, 1, []), (5, None, [])]
+
+
+def test_quotes_broken_over_lines_lose_no_line(spark):
+    """Each line's reason is the same in whatever run it is read, and however many lines are passed over."""
+    r = random.Random(3)
+    lines = [(i, r.choice(BROKEN), r.choice(["gff3", "gtf"]), r.choice("ab")) for i in range(3000)]
+    df = spark.createDataFrame(lines, "line_id long, line string, dialect string, file_name string")
+    for file in (None, "file_name"):
+        got = {x.line_id: x.reason or "ok" for x in records.parse_lines(df, file=file).collect()}
+        assert got == {i: expected(x, d) for i, x, d, _ in lines}
 
 
 def test_lines_of_files_resume_at_record_starts(spark):
@@ -115,10 +120,8 @@ def test_lines_of_files_resume_at_record_starts(spark):
     got = {x.line_id: x for x in records.resumed_lines(df, block=7).collect()}
     want = {}
     for k, (_, lines) in enumerate(files.items()):
-        starts = [n for n, _ in records.read_text("\n".join(x or "" for x in lines), "gff3")]
-        for i, x in enumerate(lines):
-            if records.read_line(x, "gff3") is not None:
-                want[100 * k + i] = None if i in starts else max(n for n in starts if n < i) + 1
+        for i, _, broken in records.read_lines(lines, "gff3"):
+            want[100 * k + i] = None if broken is None else broken + 1
     assert any(want.values()) and {i: x.broken_no for i, x in got.items() if i < 900} == want
     assert {i: x.broken_no for i, x in got.items() if i >= 900} == dict.fromkeys((900, 901, 902, 903))
     lines = {d[0]: d[3] for d in data}
