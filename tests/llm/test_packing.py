@@ -28,13 +28,21 @@ def test_items_of_every_size():
     assert check([7] * 9, 10) == 9
 
 
-def test_local_search_beats_best_fit():
-    # Best fit takes three containers: 6+4, 5+... ; exchanges find two.
+def test_local_search_empties_containers():
     sizes = np.array([5, 4, 4, 3, 2, 2])
-    box = packing.best_fit(sizes, 10)
-    assert len(set(packing.improve(sizes, box, 10))) <= len(set(box))
-    spread = np.arange(len(sizes))
-    assert len(set(packing.improve(sizes, spread, 10))) == 2
+    assert len(set(packing.next_fit(sizes, 10))) == 3
+    assert len(set(packing.improve(sizes, packing.next_fit(sizes, 10), 10))) == 2
+    assert len(set(packing.improve(sizes, np.arange(len(sizes)), 10))) == 2
+
+
+def test_the_search_packs():
+    """The start wastes about a quarter; what fills the containers is the search."""
+    sizes = np.minimum(np.random.default_rng(8).lognormal(6.4, 1.1, 6000).astype(np.int64) + 1, 2048)
+    start, least = packing.next_fit(sizes, 2048), -(-sizes.sum() // 2048)
+    assert len(set(start)) > 1.2 * least
+    assert len(set(packing.improve(sizes, start, 2048))) <= 1.005 * least
+    few = sizes[:400]
+    assert len(set(packing.improve(few, np.arange(400), 2048))) <= 1.005 * -(-few.sum() // 2048) + 1
 
 
 def test_search_is_near_the_optimum_on_small_cases():
