@@ -1,14 +1,14 @@
 """Problem 3: overlapping and gapped intervals.
 
-Method: starts and ends are sorted independently for each entity; with ranks i, a gap lies where the start of rank i + 1
+Method: starts and ends are ranked independently for each entity; with ranks i, a gap lies where the start of rank i + 1
 exceeds the end of rank i, and the boundaries so found, taken in order, pair up to continuous periods."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from exonia.operators.ranking import running_counts
+from exonia.operators.ranking import running_sums
 from exonia.session import digits
 
 
@@ -30,49 +30,26 @@ def periods_and_gaps(intervals: DataFrame, entity: list[str], start: str = "pos_
     """(entity..., kind, pos_start, pos_end): each `block`, the largest union of overlapping or touching intervals, and each
     `gap` between the blocks of an entity, once.
 
-    Intervals are end-exclusive integers; those with a null bound or an end not above the start are left out. Null entity
-    columns form entities of their own. Equal and nested intervals change nothing. No task gets a whole entity: ranks
-    come from running_counts, and starts meet ends by (entity, rank)."""
-    bounds = (
-        intervals.where(F.col(end) > F.col(start))
-        .select(*entity, F.inline(F.array(*(F.struct(F.lit(k).alias("_end"), F.col(c).cast("bigint").alias("_v")) for k, c in ((False, start), (True, end))))))
-        .groupBy(*entity, "_end", "_v")
-        .agg(F.count("*").alias("_n"))
-    )
-    ranked = running_counts(bounds, [*entity, "_end"], "_v", "_n")
-    # The start of rank i + 1 and the end of rank i meet at i. With ties the first start and the last end count: at a gap
-    # exactly i starts and i ends come before it.
-    meet = (
-        ranked.select(
-            *entity,
-            F.when(F.col("_end"), F.col("upto")).otherwise(F.col("upto") - F.col("_n")).alias("_rank"),
-            F.when(~F.col("_end"), F.col("_v")).alias("_next_start"),
-            F.when(F.col("_end"), F.col("_v")).alias("_last_end"),
-            "total",
-        )
-        .groupBy(*entity, "_rank")
-        .agg(F.max("_next_start").alias("_next_start"), F.max("_last_end").alias("_last_end"), F.max("total").alias("_all"))
-        .where((F.col("_rank") == 0) | (F.col("_rank") == F.col("_all")) | (F.col("_next_start") > F.col("_last_end")))
-        .select(*entity, "_rank", "_next_start", "_last_end", F.lit(1).alias("_one"))
-    )
-    numbered = running_counts(meet, entity, "_rank", "_one")
-
-    def part(kind: str, slot, lo, hi):
-        return F.struct(F.lit(kind).alias("kind"), slot.alias("_slot"), lo.cast("int").alias("_lo"), hi.cast("int").alias("_hi"))
-
-    null, nth = F.lit(None), F.col("upto")
-    parts = F.array(
-        part("block", nth, F.col("_next_start"), null),
-        part("block", nth - 1, null, F.col("_last_end")),
-        part("gap", nth, F.col("_last_end"), F.col("_next_start")),
-    )
-    return (
-        numbered.select(*entity, F.inline(parts))
-        .groupBy(*entity, "kind", "_slot")
-        .agg(F.max("_lo").alias("pos_start"), F.max("_hi").alias("pos_end"))
-        .where(F.col("pos_start").isNotNull() & F.col("pos_end").isNotNull())
-        .drop("_slot")
-    )
+    Intervals are end-exclusive 32-bit integers; those with a null bound or an end not above the start are left out. Null
+    entity columns form entities of their own. Equal and nested intervals change nothing. No task gets a whole entity: its
+    bounds are counted by value before they are shuffled, ranked in ranges of values, and paired within these; a row for
+    each range pairs the bounds at its ends."""
+    if {intervals.schema[c].dataType.typeName() for c in (start, end)} - {"integer", "short", "byte"}:
+        raise TypeError("bounds of intervals must be 32-bit integers")
+    sides = F.array(*(F.struct(F.col(c).alias("_v"), F.lit(int(c == start)).alias("_starts"), F.lit(int(c == end)).alias("_ends")) for c in (start, end)))
+    bounds = intervals.where(F.col(end) > F.col(start)).select(*entity, F.inline(sides)).groupBy(*entity, "_v").agg(F.sum("_starts").alias("_starts"), F.sum("_ends").alias("_ends"))
+    ranked = running_sums(bounds, entity, "_v", ["_starts", "_ends"])
+    # With i starts and i ends up to a value, the start of rank i + 1 exceeds the end of rank i: a period ends there. The same
+    # counts before a value: a period starts with it.
+    ends = F.col("upto__starts") == F.col("upto__ends")
+    begins = F.col("upto__starts") - F.col("_starts") == F.col("upto__ends") - F.col("_ends")
+    bound = ranked.where(begins | ends).select(*entity, "_range", "_v", begins.alias("_begins"))
+    after = Window.partitionBy(*entity, "_range").orderBy("_v")
+    inner = bound.select(*entity, "_v", "_begins", F.lead("_v").over(after).alias("_next"))
+    ranges = bound.groupBy(*entity, "_range").agg(F.min("_v").alias("_first"), F.max(F.struct("_v", "_begins")).alias("_last"))
+    outer = ranges.select(*entity, "_last.*", F.lead("_first").over(Window.partitionBy(*entity).orderBy("_range")).alias("_next"))
+    paired = inner.unionByName(outer).where(F.col("_next").isNotNull())
+    return paired.select(*entity, F.when(F.col("_begins"), "block").otherwise("gap").alias("kind"), F.col("_v").alias("pos_start"), F.col("_next").alias("pos_end"))
 
 
 def coding_blocks(genepred: DataFrame) -> DataFrame:

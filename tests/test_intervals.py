@@ -3,7 +3,7 @@
 import random
 
 from exonia.operators import intervals
-from exonia.operators.ranking import running_counts
+from exonia.operators.ranking import running_counts, running_sums
 from tests.conftest import rows
 
 
@@ -32,8 +32,8 @@ def test_random_intervals(spark, monkeypatch):
         data.append((r.choice(["a", "b", None, "hot", "hot", "hot"]), s, s + r.randint(-2, 30)))
     data += [("n", None, 3), ("n", 3, None), ("one", 1, 2), ("touch", 1, 2), ("touch", 2, 3), ("far", -5, 70000), ("far", 70001, 2000000000)]
     df = spark.createDataFrame(data, "e string, pos_start int, pos_end int")
-    for width in (7, 1 << 16):
-        monkeypatch.setattr(intervals, "running_counts", lambda *a, width=width: running_counts(*a, width=width))
+    for width in (8, 1 << 16, 1 << 20):
+        monkeypatch.setattr(intervals, "running_sums", lambda *a, width=width: running_sums(*a, width=width))
         got = sorted(((x.e, x.kind, x.pos_start, x.pos_end) for x in intervals.periods_and_gaps(df, ["e"]).collect()), key=str)
         assert got == sweep(data)
     assert intervals.periods_and_gaps(df.limit(0), ["e"]).collect() == []
@@ -41,11 +41,26 @@ def test_random_intervals(spark, monkeypatch):
 
 def test_running_counts(spark):
     df = spark.createDataFrame([("a", v, v % 3 + 1) for v in range(-20, 90, 7)] + [(None, 5, 2)], "k string, v int, n int")
-    total = 0
-    for x in sorted(running_counts(df, ["k"], "v", "n", width=10).where("k = 'a'").collect(), key=lambda x: x.v):
-        total += x.n
-        assert x.upto == total
-    assert running_counts(df, ["k"], "v", "n").where("k is null").first().upto == 2
+    for width in (8, 1 << 20):
+        total = 0
+        for x in sorted(running_counts(df, ["k"], "v", "n", width=width).where("k = 'a'").collect(), key=lambda x: x.v):
+            total += x.n
+            assert x.upto == total and x.total == sum(v % 3 + 1 for v in range(-20, 90, 7))
+        assert running_counts(df, ["k"], "v", "n", width=width).where("k is null").first().upto == 2
+
+
+def test_a_sparse_hot_group_is_spread(spark):
+    """Values over 10^15: no window gets the group, nor all its ranges, nor all their ranges."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(4000).select(F.lit("hot").alias("k"), (F.col("id") * 250_000_000_000 - 10**14).alias("v"), F.lit(2).alias("n"))
+    got = running_sums(df, ["k"], "v", ["n"], width=1 << 10)
+    assert got.where("upto_n <> 2 * (v + 100000000000000) / 250000000000 + 2 or total_n <> 8000").count() == 0
+    assert got.groupBy("_range").count().agg(F.max("count")).first()[0] == 1
+    plan = got._jdf.queryExecution().toString()
+    assert "Join" not in plan and plan.count("_range") > 0
+    wide = running_sums(df.withColumn("v", F.expr("cast(v div 1000000000 as int)")), ["k"], "v", ["n"], width=1 << 10)
+    assert wide.groupBy("_range").count().agg(F.max("count")).first()[0] <= 1 << 10
 
 
 def test_models(spark):
