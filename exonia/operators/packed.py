@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exonia.session import evaluated, join_null_safe, spread, stored
+from exonia.session import discard, evaluated, join_null_safe, spread, stored
 
 #: Most sources whose inferred delimiters are sent to all tasks; more of them are joined by shuffling.
 SENT_SOURCES = 4096
@@ -144,10 +144,9 @@ def inferred(counted: DataFrame, source: list[str], reading: Reading, mixed: boo
     return scores(counted, source, reading).groupBy(*source).agg(F.max_by("mark", order).alias("mark"))
 
 
-def delimiters(df: DataFrame, source: list[str], field: str, reading: Reading) -> DataFrame:
-    """(source..., _style, mark, own): for each source and set of marks the source's delimiter, and the one of those fields that it
-    doesn't explain (null if there are none)."""
-    counted = stored(cells(df, source, field, reading), "cells")
+def delimiters(counted: DataFrame, source: list[str], reading: Reading) -> DataFrame:
+    """(source..., _style, mark, own) of cells: for each source and set of marks the source's delimiter, and the one of those fields
+    that it doesn't explain (null if there are none)."""
     first = join_null_safe(counted, inferred(counted, source, reading).withColumnRenamed("mark", "_first"), source, "left")
     left = first.where(F.col("_good").bitwiseAND(reading.bit(F.col("_first"))) == 0)
     own = inferred(left, [*source, "_style"], reading, mixed=True).withColumnRenamed("mark", "own")
@@ -166,9 +165,11 @@ def with_marks(df: DataFrame, source: list[str], field: str, reading: Reading) -
     left out. Delimiters are sent to all tasks only after their number was found to be at most SENT_SOURCES."""
     text = F.col(field)
     rows = df.where(text.isNotNull())
-    marks = delimiters(rows, source, field, reading)
+    counted = stored(cells(rows, source, field, reading), "cells")
+    marks = delimiters(counted, source, reading)
     few = marks.limit(SENT_SOURCES + 1).collect()
     if len(few) <= SENT_SOURCES:
+        discard(counted)
         marks = F.broadcast(df.sparkSession.createDataFrame(few, marks.schema))
     both = join_null_safe(rows.withColumn("_style", reading.style(text)), marks.withColumnRenamed("mark", "_mark"), [*source, "_style"], "left")
     both = evaluated(both, _own=~_by_mark(reading, "_mark", lambda c: c.explains(text), F.lit(False)))

@@ -36,27 +36,41 @@ def few(df: DataFrame, column: str, most: int = 1000) -> list:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or where that is unset (tests, one
-    machine) a new temporary folder, which is then kept in the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where that is unset and all tasks run in this
+    process (tests, one machine) a new temporary folder, which is then kept in the session; elsewhere an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.exonia.shared", None)
     if not folder:
-        folder = spark.conf.get("spark.exonia.shared", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="exonia-")
-            spark.conf.set("spark.exonia.shared", folder)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="exonia-")
+        spark.conf.set("spark.exonia.shared", folder)
     return folder
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: cuts the lineage and outlives lost executors.
 
-    The folder is removed when the driver's JVM ends."""
+    The folder is removed by discard(), at the latest when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    fs, path = _path(spark, folder)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._stored_in = folder
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the folder of a stored table that nothing reads any more."""
+    fs, path = _path(df.sparkSession, df._stored_in)
+    fs.delete(path, True)
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str], prefix: str = "r_") -> tuple[DataFrame, Column]:

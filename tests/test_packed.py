@@ -99,7 +99,7 @@ FIELDS = [*["a=1;b=2"] * 6, "a=1;b=2;c=3", "a=1|b=2", 'a="x|y"|b=2', "a='x|b=2",
 def test_fields_of_other_hands_have_their_own_delimiter(spark):
     df = spark.createDataFrame([(i, f, 1) for i, f in enumerate(FIELDS)], "row_id int, f string, s int")
     assert items(df) == {i: scan(f) for i, f in enumerate(FIELDS)}
-    marks = {(x._style, x.mark, x.own) for x in packed.delimiters(df, ["s"], "f", packed.ATTRIBUTES).collect()}
+    marks = {(x._style, x.mark, x.own) for x in packed.delimiters(packed.cells(df, ["s"], "f", packed.ATTRIBUTES), ["s"], packed.ATTRIBUTES).collect()}
     assert marks == {(1, ";", None), (2, ";", ";|"), (3, ";", ";|")}
 
 
