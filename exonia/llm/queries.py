@@ -19,13 +19,17 @@ def limits(spark: SparkSession, sf_dir: str, purpose: str) -> list[tuple]:
     return [(r.limit_id, r.tokenizer, r.capacity, r.overlap or 0) for r in rows]
 
 
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.summaries(quantiles.exon_values(table(spark, sf_dir, "genepred")), GROUP, "load_day", "value")
+
+
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = p2_day_summaries(spark, sf_dir)
-    return quantiles.percentiles(days, GROUP)
+    got = quantiles.percentiles(_days(spark, sf_dir), GROUP)
+    return got.select("organism", "chrom", quantiles.named_measure().alias("measure"), "percent", "value", "n")
 
 
 def p2_day_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles.summaries(quantiles.exon_values(table(spark, sf_dir, "genepred")), GROUP, "load_day", "value")
+    return _days(spark, sf_dir).select("organism", "chrom", quantiles.named_measure().alias("measure"), F.col("load_day").cast("string").alias("load_day"), "value", "weight")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
