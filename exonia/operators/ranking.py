@@ -25,17 +25,17 @@ def running_sums(df: DataFrame, keys: list[str], value: str, sums: list[str], wi
     left = bits - (width.bit_length() - 1)
     if left > width.bit_length() - 1:
         nested = running_sums(ranges.withColumnRenamed("_range", "_at"), keys, "_at", sums, width, left)
-        heads = nested.select(*keys, F.col("_at").alias("_range"), *((F.col(f"upto_{s}") - F.col(s)).alias(f"_before_{s}") for s in sums), *(F.col(f"total_{s}").alias(f"_all_{s}") for s in sums))
+        heads = nested.select(*keys, F.col("_at").alias("_range"), *((F.col(f"upto_{s}") - F.col(s)).alias(s) for s in sums), *(F.col(f"total_{s}").alias(f"_all_{s}") for s in sums))
     else:
         group = Window.partitionBy(*keys)
         before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        heads = ranges.select(*keys, "_range", *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_before_{s}") for s in sums), *(F.sum(s).over(group).alias(f"_all_{s}") for s in sums))
-    # A head stands before the rows of its range: its value is null.
-    rows = cut.select("*", F.lit(False).alias("_head"), *(F.col(s).cast("bigint").alias(f"_before_{s}") for s in sums), *(F.lit(None).cast("bigint").alias(f"_all_{s}") for s in sums))
-    both = rows.unionByName(heads.withColumn("_head", F.lit(True)), allowMissingColumns=True)
+        heads = ranges.select(*keys, "_range", *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in sums), *(F.sum(s).over(group).alias(f"_all_{s}") for s in sums))
+    # A head stands before the rows of its range, as its value is null, and adds up what lies before the range.
+    rows = cut.withColumns({s: F.col(s).cast("bigint") for s in sums} | {f"_all_{s}": F.lit(None).cast("bigint") for s in sums})
+    both = rows.unionByName(heads, allowMissingColumns=True)
     upto = Window.partitionBy(*keys, "_range").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    counted = both.withColumns({**{f"upto_{s}": F.sum(f"_before_{s}").over(upto) for s in sums}, **{f"total_{s}": F.max(f"_all_{s}").over(upto) for s in sums}})
-    return counted.where(~F.col("_head")).select(*cut.columns, *(f"upto_{s}" for s in sums), *(f"total_{s}" for s in sums))
+    counted = both.withColumns({**{f"upto_{s}": F.sum(s).over(upto) for s in sums}, **{f"total_{s}": F.max(f"_all_{s}").over(upto) for s in sums}})
+    return counted.where(F.col(value).isNotNull()).select(*cut.columns, *(f"upto_{s}" for s in sums), *(f"total_{s}" for s in sums))
 
 
 def running_counts(df: DataFrame, keys: list[str], value: str, weight: str, width: int = RANGE_WIDTH) -> DataFrame:
