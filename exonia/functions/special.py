@@ -27,6 +27,30 @@ def factorial(n: float) -> float:
     return math.exp(factln(n)) if n > 20 else float(math.factorial(int(n)))
 
 
+#: The coefficients of Stirling's series for ln gamma, of 1 / z to the powers 1, 3, 5 and so on.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
+LIFT = 8
+
+
+def gammln_column(x: Column) -> Column:
+    """ln gamma of a positive double as an expression: Stirling's series at x + 8, from which the recurrence leads back. Null for
+    null and for x <= 0."""
+    z = x + LIFT
+    series = sum(((F.lit(c) / F.pow(z, F.lit(2 * k + 1))) for k, c in enumerate(STIRLING)), F.lit(0.0))
+    back = x
+    for k in range(1, LIFT):
+        back = back * (x + k)
+    return F.when(x > 0, (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + series - F.ln(back))
+
+
+def factln_column(n: Column) -> Column:
+    return gammln_column(n.cast("double") + 1)
+
+
+def poisson_ln_column(rate: Column, k: Column) -> Column:
+    return k * F.ln(rate) - rate - factln_column(k)
+
+
 def bicoln(n: float, k: float) -> float:
     """ln of n over k."""
     return factln(n) - factln(k) - factln(n - k)

@@ -303,10 +303,42 @@ def histogram_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_HISTOGRAM + " SELECT DISTINCT value::INT AS value, round(lgamma(value + 1), 6) AS log_factorial, round(value * ln(60) - 60 - lgamma(value + 1), 6) AS poisson FROM h WHERE kind = 'intron_length'")
 def length_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Special functions of every intron length."""
+    """Special functions of every intron length, as expressions."""
     v = length_histograms(spark, sf_dir).where("kind = 'intron_length'").select("value").distinct()
-    x = F.col("value").cast("double")
-    return v.select("value", F.round(special.column(special.factln, x), 6).alias("log_factorial"), F.round(special.column(special.poisson_ln, F.lit(60.0), x), 6).alias("poisson"))
+    x = F.col("value")
+    return v.select("value", F.round(special.factln_column(x), 6).alias("log_factorial"), F.round(special.poisson_ln_column(F.lit(60.0), x), 6).alias("poisson"))
+
+
+@query(
+    _HISTOGRAM
+    + """ SELECT DISTINCT value::INT AS value, round(ln(0.4) + value * ln(60) - 60 - lgamma(value + 1), 6) AS short_log, CASE WHEN value >= 1 THEN round(ln(0.6) + ln(0.01) + (value - 1) * ln(0.99), 6) END AS long_log,
+      round(ln(0.4) - 60, 6) AS open, CASE WHEN value > 0 THEN round(ln(60) - ln(value), 6) END AS advance FROM h WHERE kind = 'intron_length'"""
+)
+def length_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both parts of a length model (weight 0.4, rate 60, fail 0.99, shift 1) give for every intron length, and the
+    steps that a short intron's score is made of."""
+    v = length_histograms(spark, sf_dir).where("kind = 'intron_length'").select("value").distinct()
+    x, weight, rate, fail, shift = F.col("value"), F.lit(0.4), F.lit(60.0), F.lit(0.99), F.lit(1)
+    got = {"short_log": lengths.short_log(x, weight, rate), "long_log": lengths.long_log(x, weight, fail, shift), "open": lengths.open_score(weight, rate), "advance": F.when(x > 0, lengths.advance_score(x, rate))}
+    return v.select("value", *(F.round(c, 6).alias(n) for n, c in got.items()))
+
+
+@query(
+    _HISTOGRAM
+    + """, l AS (SELECT organism, value::DOUBLE AS v, n::DOUBLE AS n FROM h WHERE kind = 'intron_length'),
+    m AS (SELECT organism, sum(n) AS total, sum(v * n) / sum(n) AS mean, sum(v * v * n) / sum(n) AS square, arg_max(v, n * 1e9 - v) AS mode FROM l GROUP BY organism),
+    b AS (SELECT m.*, (SELECT coalesce(sum(n), 0) FROM l WHERE l.organism = m.organism AND l.v < m.mode) / total AS before, list_sum(list_transform(range(0, mode::INT), lambda k: exp(k * ln(mode) - mode - lgamma(k + 1)))) AS below FROM m),
+    w AS (SELECT *, before / below AS weight FROM b),
+    f AS (SELECT *, 1 - (1 - weight) / (mean - weight * mode) AS fail FROM w),
+    g AS (SELECT organism, CASE WHEN weight BETWEEN 0 AND 1 THEN weight ELSE 0.5 END AS weight, mode AS rate, CASE WHEN fail BETWEEN 0 AND 1 THEN fail ELSE 0.5 END AS fail, trunc(mean + 3 * sqrt(greatest(square - mean * mean, 0))) AS longest FROM f)
+    SELECT organism, round(weight, 6) AS weight, rate, round(fail, 6) AS fail,
+      round(sum(n * (greatest(p, q) + ln(1 + exp(least(p, q) - greatest(p, q))))), 3) AS log_likelihood
+    FROM (SELECT g.organism, weight, rate, fail, n, ln(greatest(weight, 1e-300)) + v * ln(rate) - rate - lgamma(v + 1) AS p, ln(greatest(1 - weight, 1e-300)) + ln(greatest(1 - fail, 1e-300)) + (v - 1) * ln(greatest(fail, 1e-300)) AS q FROM g JOIN l ON g.organism = l.organism AND v > 0 AND v <= longest) GROUP BY organism, weight, rate, fail"""
+)
+def intron_length_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the fit of each organism's mixture begins, and how likely its lengths are under it."""
+    got = lengths.guessed(length_histograms(spark, sf_dir).where("kind = 'intron_length'"))
+    return got.select("organism", F.round("weight", 6).alias("weight"), "rate", F.round("fail", 6).alias("fail"), F.round("log_likelihood", 3).alias("log_likelihood"))
 
 
 @query()

@@ -57,7 +57,7 @@ def lines(model: dict[str, DataFrame]) -> Iterator[str]:
     n = columns.count()
     if n > MAX_ROWS:
         raise ValueError("too many column types for the text form; use the tables")
-    yield f"{n}\t# number of alignment column types"
+    yield f"{n}"
     for r in columns.toLocalIterator():
         yield f"|\t{r.code}\t{r.n}"
     motifs, edges, codons = {}, {}, {}
@@ -73,13 +73,13 @@ def lines(model: dict[str, DataFrame]) -> Iterator[str]:
             for kind in ("real", "null"):
                 yield f"#{title}{'/null' if kind == 'null' else ''} {org}"
                 yield "#SPLICE"
-                yield f"{m}\t{b}\t{str(site == 'donor').lower()}\t# motif-length boundary-length is_donor"
+                yield f"{m}\t{b}\t{str(site == 'donor').lower()}"
                 own, at = motifs.get((org, site, kind), {}), edges.get((org, site, kind), {})
-                yield f"{len(own)}\t# number of motifs"
+                yield f"{len(own)}"
                 for idx, count in sorted(own.items(), key=lambda x: (-x[1], x[0])):
-                    yield f"{idx}\t{count}\t# motif {_bases(idx, m)}"
+                    yield f"{idx}\t{count}\t# {_bases(idx, m)}"
                 for place in range(b):
-                    yield "\t".join([*(str(at.get((place, k), 0)) for k in range(4)), f"# boundary {place} ({NUCLEOTIDES})"])
+                    yield "\t".join([*(str(at.get((place, k), 0)) for k in range(4))])
         yield f"#ILEN {org}"
         yield "#INTRON_LENGTH"
         r = lengths.get(org)

@@ -52,16 +52,31 @@ def test_special_columns(spark):
 
 def test_length_fit_is_near_the_truth(spark):
     r = np.random.default_rng(1)
-    sample = np.where(r.random(6000) < 0.6, r.poisson(60, 6000), 45 + r.geometric(0.01, 6000))
+    sample = np.where(r.random(6000) < 0.6, r.poisson(60, 6000), r.geometric(0.01, 6000))
     value, n = np.unique(sample, return_counts=True)
     got = lengths.fit(value, n)
-    assert got["weight"] == pytest.approx(0.6, abs=0.08) and got["rate"] == pytest.approx(60, abs=2)
-    truth = float((n * lengths.log_density(value.astype(float), 0.6, 60, 0.01, int(value.min()))).sum())
-    kept = value <= np.average(value, weights=n) + 3 * math.sqrt(np.average(value**2, weights=n) - np.average(value, weights=n) ** 2)
-    assert got["log_likelihood"] >= float((n[kept] * lengths.log_density(value[kept].astype(float), 0.6, 60, 0.01, int(value.min()))).sum()) - 1e-6 or got["log_likelihood"] >= truth
+    assert got["weight"] == pytest.approx(0.6, abs=0.05) and got["rate"] == pytest.approx(60, abs=1) and got["fail"] == pytest.approx(0.99, abs=0.003)
+    kept = lengths.kept(value.astype(float), n.astype(float))
+    likelihood = lambda w, rate, fail: float((n[kept] * lengths.log_density(value[kept].astype(float), w, rate, fail)).sum())
+    assert got["log_likelihood"] == pytest.approx(likelihood(got["weight"], got["rate"], got["fail"])) and got["log_likelihood"] >= likelihood(0.6, 60, 0.99)
+    for dw, dr, df in ((0.01, 0, 0), (-0.01, 0, 0), (0, 0.5, 0), (0, -0.5, 0), (0, 0, 0.0005), (0, 0, -0.0005)):
+        assert likelihood(got["weight"] + dw, got["rate"] + dr, got["fail"] + df) <= got["log_likelihood"]
     df = spark.createDataFrame([("a", int(v), int(k)) for v, k in zip(value, n)] + [("zero", 0, 5), ("one", 7, 1)], "organism string, value int, n bigint")
     rows = {x.organism: x for x in lengths.fitted(df).collect()}
-    assert rows["a"].rate == pytest.approx(got["rate"]) and rows["zero"].rate is None and rows["one"].shift == 7
+    assert rows["a"].rate == pytest.approx(got["rate"]) and {x.shift for x in rows.values()} == {1}
+    assert rows["zero"].rate is None or math.isnan(rows["zero"].rate)
+
+
+def test_length_density_sums_to_one():
+    at = np.arange(0, 20000)
+    assert np.exp(lengths.log_density(at.astype(float), 0.3, 50.0, 0.99)).sum() == pytest.approx(1)
+    assert lengths.log_density(np.array([3.0]), 0.0, 50.0, 0.99)[0] == pytest.approx(math.log(0.01) + 2 * math.log(0.99))
+
+
+def test_gamma_as_an_expression(spark):
+    x = [0.001, 0.5, 1.0, 2.0, 3.7, 10.0, 171.0, 1e6]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in [*x, -1.0, None]], "x double").select(special.gammln_column(special.F.col("x")).alias("v")).collect()]
+    assert got[-2:] == [None, None] and got[:-2] == pytest.approx([math.lgamma(v) for v in x], rel=1e-12, abs=1e-12)
 
 
 TREE = [("a", "x"), ("b", "x"), ("x", "r"), ("c", "r"), ("d", "r"), ("r", None)]
