@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from exonia.functions import seq as S
 from exonia.operators import alignment, counting, genes, homology, lengths, parsimony, scoring
-from exonia.session import build_session, evaluated, few
+from exonia.session import build_session, evaluated, few, stored
 from exonia.sources import fasta, model_text, newick, report_lines, text_lines
 
 #: Identifier key of each dialect.
@@ -24,7 +24,7 @@ def annotated(spark: SparkSession, spec: str, organisms: DataFrame | None = None
     """Gene models of annotation tables, of the known organisms, the last of each name, without faulty ones."""
     out = None
     for k, (organism, path) in enumerate(fasta.named_files(spec)):
-        lines = spark.read.text(fasta.local_path(spark, path)).withColumn("value", F.col("value"))
+        lines = spark.read.text(fasta.local_path(spark, path))
         part = text_lines.read_table(lines, layout, organism or None, organisms).withColumn("_k", F.lit(k))
         out = part if out is None else out.unionByName(part)
     good = out.where("problem is null or problem = 'short'").withColumnRenamed("gene", "accno")
@@ -155,12 +155,12 @@ def check_sites(spark: SparkSession, a: argparse.Namespace) -> None:
     p = parsimony.Penalties(a.loss, a.gain, a.shift, a.annot)
     scores = scores_of(load_model(spark, a.model))
     homology.doubled(rows, list(scores.index)).write.mode("overwrite").parquet(f"{a.out}/unjudged")
-    for what in ("contexts", "nodes", "edits"):
-        homology.reconstructed(rows, scores, tree, what, p).write.mode("overwrite").parquet(f"{a.out}/{what}")
-    nodes, edits = (spark.read.parquet(f"{a.out}/{what}") for what in ("nodes", "edits"))
-    header = spark.createDataFrame([(report_lines.ancestral_header(tree),)], "value string")
-    lines = header.unionByName(report_lines.ancestral_lines(nodes, tree)).unionByName(report_lines.history_lines(nodes)).unionByName(report_lines.edit_lines(edits))
-    lines.write.mode("overwrite").text(f"{a.out}/report")
+    every = stored(homology.reconstructed(rows, scores, tree, p), "history")
+    for what in homology.PARTS:
+        homology.part(every, what).write.mode("overwrite").parquet(f"{a.out}/{what}")
+    nodes, edits = homology.part(every, "nodes"), homology.part(every, "edits")
+    lines = report_lines.in_order(report_lines.ancestral_lines(nodes, tree), report_lines.history_lines(nodes), report_lines.edit_lines(edits), report_lines.ancestral_header(tree))
+    lines.select("value").write.mode("overwrite").text(f"{a.out}/report")
     if a.save:
         save_edited(spark, spark.read.parquet(f"{a.out}/edits"), aligned, a.save)
 

@@ -12,15 +12,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from exonia.operators import parsimony
 from exonia.operators.scoring import NEVER, generic_scores
-from exonia.session import cores
+from exonia.session import stored
 
 #: An anchor must score more than so many times the expected score of a codon pair.
 ANCHOR = 4
 COMPLEMENT = str.maketrans("ACGTRYKMBVDH", "TGCAYRMKVBHD")
 BASES = {"A": 0, "G": 1, "C": 2, "T": 3}
+#: The generic scores of the dinucleotides of donors and acceptors.
+GENERIC = {kind: generic_scores(kind) for kind in ("donor", "acceptor")}
 CODON_INDEX = {a + b + c: 16 * BASES[a] + 4 * BASES[b] + BASES[c] for a in BASES for b in BASES for c in BASES}
 
 
@@ -91,7 +94,7 @@ class Scores:
 
     def __init__(self, organisms: list[str], substitution: np.ndarray, expected: np.ndarray, middle: np.ndarray):
         self.index = {o: i for i, o in enumerate(organisms)}
-        self.substitution, self.expected, self.middle = substitution, expected, middle
+        self.substitution, self.expected, self.middle = substitution.astype(np.int32), expected, middle
 
     def limit(self, a: str, b: str) -> int:
         return int(ANCHOR * self.expected[self.index[a], self.index[b]])
@@ -335,7 +338,7 @@ def propose(sites: Sites, members: list[Member], q: int, r: int, b: Bracket, sco
         ("acceptor", acceptor, ref_parts[-1], r_end - ref.step * (acceptor + 1), 3 - acceptor % 3),
     ):
         wanted = alone or (other != offset and offset < r_len)
-        if wanted and r_len >= 2 + offset and generic_scores(kind).get(ref.motif(at, kind == "donor") or "", NEVER) != NEVER:
+        if wanted and r_len >= 2 + offset and GENERIC[kind].get(ref.motif(at, kind == "donor") or "", NEVER) != NEVER:
             sites.add(r, kind, at, phase, False)
 
 
@@ -429,59 +432,82 @@ def _members(pdf: pd.DataFrame) -> list[Member]:
     return [walk(r.residues, as_pairs(r.exons), r.strand, r.dna, int(r.origin), r.organism) for r in pdf.itertuples()]
 
 
-CONTEXTS = "alignment string, ctx int, first_col int, last_col int, valid_pairs int, usable boolean"
-NODES = "alignment string, ctx int, node string, parent string, is_leaf boolean, state string, donor int, acceptor int, phase int, event string, cost int"
-EDITS = "alignment string, ctx int, organism string, edit string, donor int, acceptor int, shift int, exon_starts string, exon_ends string"
+PARTS = {
+    "contexts": "alignment string, ctx int, first_col int, last_col int, valid_pairs int, usable boolean",
+    "nodes": "alignment string, ctx int, node_no int, node string, parent string, is_leaf boolean, state string, donor int, acceptor int, phase int, event string, cost int, own_donor int, own_acceptor int, motifs string, donor_shift int, acceptor_shift int",
+    "edits": "alignment string, ctx int, organism string, edit string, donor int, acceptor int, shift int, exon_starts string, exon_ends string",
+}
+FIELDS = {name: kind for part in PARTS.values() for name, kind in (f.split(" ") for f in part.split(", "))}
+#: Sequences that one task takes: their work is heavy for its bytes.
+SEQUENCES_PER_TASK = 256
 
 
 def doubled(sequences: DataFrame, organisms: list[str]) -> DataFrame:
     """(alignment, organism, n): organisms with several sequences in an alignment, which isn't judged for that."""
-    from pyspark.sql import functions as F
-
     return sequences.where(F.col("organism").isin(organisms)).groupBy("alignment", "organism").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def reconstructed(sequences: DataFrame, scores: Scores, tree: list[tuple[str, str | None]], what: str, penalties: parsimony.Penalties = parsimony.Penalties()) -> DataFrame:
-    """Contexts, node states or edits (`what`: contexts, nodes, edits) of every alignment.
+def leaf_details(sites: Sites, members: list[Member], k: int, state: parsimony.State) -> dict:
+    """A leaf's intron in its organism's coordinates, its dinucleotides (`..` beyond the contig piece) and how far its sites lie from
+    the annotated ones (null where no intron is annotated)."""
+    m, now = members[k], annotation(sites.known[k])
+    d, a = sites.donors.local(k, state[1]), sites.acceptors.local(k, state[2])
+    out = {"own_donor": d, "own_acceptor": a, "motifs": f"{m.motif(d, True) or '..'}-{m.motif(a, False) or '..'}"}
+    if now is not None and parsimony.has_intron(now):
+        out |= {"donor_shift": m.between(sites.donors.local(k, now[1]), d), "acceptor_shift": m.between(sites.acceptors.local(k, now[2]), a)}
+    return out
+
+
+def history(members: list[Member], scores: Scores, tree: list[tuple[str, str | None]], p: parsimony.Penalties) -> Iterator[dict]:
+    """The contexts of an alignment, and for each usable one its nodes and the edits of its genes, as rows of PARTS."""
+    inner = {parent for _, parent in tree}
+    place = {m.organism: k for k, m in enumerate(members)}
+    genes = {m.organism: m.exons for m in members}
+    for n, ctx in enumerate(contexts(members, scores)):
+        sites = collected(members, ctx, scores)
+        yield {"kind": "contexts", "ctx": n, "first_col": ctx.first, "last_col": ctx.last, "valid_pairs": sum(b.valid for b in ctx.pairs.values()), "usable": sites is not None}
+        if sites is None:
+            continue
+        labels, cost = parsimony.label(tree, leaf_states(sites, members, p), p)
+        for k, (node, parent) in enumerate(tree):
+            s = labels[node]
+            row = {"kind": "nodes", "ctx": n, "node_no": k, "node": node, "parent": parent, "is_leaf": node not in inner, "state": ("none", "missing", "intron")[s[0]]}
+            if parsimony.has_intron(s):
+                row |= dict(zip(("donor", "acceptor", "phase"), s[1:], strict=True))
+                if node in place and place[node] in sites.known:
+                    row |= leaf_details(sites, members, place[node], s)
+            yield row | {"event": parsimony.event(s, s if parent is None else labels[parent]), "cost": cost}
+        for organism, edit, donor, acceptor, shift in edits(sites, members, labels):
+            genes[organism] = edited(genes[organism], members[place[organism]].strand, edit, donor, acceptor)
+            starts, ends = (",".join(str(e[i]) for e in genes[organism]) for i in (0, 1))
+            yield {"kind": "edits", "ctx": n, "organism": organism, "edit": edit, "donor": donor, "acceptor": acceptor, "shift": shift, "exon_starts": starts, "exon_ends": ends}
+
+
+def reconstructed(sequences: DataFrame, scores: Scores, tree: list[tuple[str, str | None]], penalties: parsimony.Penalties = parsimony.Penalties()) -> DataFrame:
+    """Contexts, node states and edits of every alignment in one pass: `kind` tells which of PARTS a row is of; see part().
 
     sequences: (alignment, organism, strand, exons, residues, dna, origin); organisms without scores are left out before they
     are grouped. Alignments of one sequence, those with two introns of a gene in one codon, and those with several sequences
-    of one organism, of which none is the right one (see doubled), give nothing."""
-    from pyspark.sql import functions as F
-
-    known = list(scores.index)
+    of one organism, of which none is the right one (see doubled), give nothing. Scores and tree, which are bounded by the
+    organisms, are broadcast."""
+    spark = sequences.sparkSession
     row = F.struct("strand", "exons", "residues", "dna", "origin")
-    once = sequences.where(F.col("organism").isin(known)).groupBy("alignment", "organism").agg(F.min(row).alias("_r"), F.count("*").alias("_n")).select("alignment", "organism", "_r.*", "_n")
+    known = sequences.where(F.col("organism").isin(list(scores.index)))
+    once = stored(known.groupBy("alignment", "organism").agg(F.min(row).alias("_r"), F.count("*").alias("_n")).select("alignment", "organism", "_r.*", "_n"), "sequences")
+    sent = spark.sparkContext.broadcast((scores, tree, penalties))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        single = (pdf["_n"] == 1).all()
-        name, members, out = pdf["alignment"].iloc[0], _members(pdf) if single else [], []
-        genes = {m.organism: m.exons for m in members}
-        if len(members) > 1 and not two_introns_in_a_codon(members):
-            for n, ctx in enumerate(contexts(members, scores)):
-                sites = collected(members, ctx, scores)
-                if what == "contexts":
-                    out.append((name, n, ctx.first, ctx.last, sum(b.valid for b in ctx.pairs.values()), sites is not None))
-                    continue
-                if sites is None:
-                    continue
-                labels, cost = parsimony.label(tree, leaf_states(sites, members, penalties), penalties)
-                if what == "nodes":
-                    inner = {p for _, p in tree}
-                    for node, parent in tree:
-                        s = labels[node]
-                        place = s[1:] if parsimony.has_intron(s) else (None, None, None)
-                        out.append((name, n, node, parent, node not in inner, ("none", "missing", "intron")[s[0]], *place, parsimony.event(s, s if parent is None else labels[parent]), cost))
-                    continue
-                strands = {m.organism: m.strand for m in members}
-                for organism, edit, donor, acceptor, shift in edits(sites, members, labels):
-                    genes[organism] = edited(genes[organism], strands[organism], edit, donor, acceptor)
-                    starts, ends = (",".join(str(e[i]) for e in genes[organism]) for i in (0, 1))
-                    out.append((name, n, organism, edit, donor, acceptor, shift, starts, ends))
-        names = [c.split(" ")[0] for c in schema.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        return frame.astype({c.split(" ")[0]: "Int32" for c in schema.split(", ") if c.endswith(" int")})
-
-    schema = {"contexts": CONTEXTS, "nodes": NODES, "edits": EDITS}[what]
-    # The work is heavy for its size; as many partitions as there are cores, not as few as the bytes would need.
-    return once.repartition(cores(once.sparkSession), "alignment").groupBy("alignment").applyInPandas(work, schema)
+        members = _members(pdf) if (pdf["_n"] == 1).all() else []
+        judged = len(members) > 1 and not two_introns_in_a_codon(members)
+        name = {"alignment": pdf["alignment"].iloc[0]}
+        frame = pd.DataFrame([row | name for row in history(members, *sent.value)] if judged else [], columns=["kind", *FIELDS], dtype=object)
+        frame = frame.where(frame.notna(), None)
+        return frame.astype({name: "Int32" for name, kind in FIELDS.items() if kind == "int"})
+
+    tasks = max(1, -(-once.count() // SEQUENCES_PER_TASK))
+    return once.repartition(tasks, "alignment").groupBy("alignment").applyInPandas(work, ", ".join(["kind string", *(f"{n} {k}" for n, k in FIELDS.items())]))
+
+
+def part(rows: DataFrame, kind: str) -> DataFrame:
+    """The rows of one kind, with its columns."""
+    return rows.where(F.col("kind") == kind).select(*(f.split(" ")[0] for f in PARTS[kind].split(", ")))

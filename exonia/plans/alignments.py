@@ -11,7 +11,7 @@ from exonia.operators import alignment, counting, genes, scoring
 from exonia.plans import sequences as SQ
 from exonia.plans.models import _GENE_OF
 from exonia.plans.views import INTRON, models
-from exonia.session import cores, evaluated, few, table
+from exonia.session import evaluated, few, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -37,7 +37,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = genes.with_gene(p, last)
     rows = got.select("row_id", "alignment", "seq_idx", "seq_id", F.coalesce("organism", "gene_row.organism").alias("organism"), "residues", F.col("gene_row.row_id").alias("gene_row"))
     # By alignment, as what follows groups them, and before the work on columns, which is heavy for its bytes.
-    return rows.repartition(cores(spark), "alignment")
+    return rows.repartition("alignment")
 
 
 def walked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ a gene's piece is made of its protein's stand-in coding sequence, with introns f
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,47 +49,64 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores_of(spark: SparkSession, sf_dir: str) -> homology.Scores:
-    """Scores for the tree's organisms: at most (organisms squared) * 4096 numbers."""
+    """Scores for the tree's organisms: at most (organisms squared) * 4096 numbers, for at most MAX_ORGANISMS. They are a table set's
+    statistics model, made once a session; both of its parts are computed at the same time."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCORES:
+        _SCORES.clear()
+        _SCORES[key] = _scores(spark, sf_dir)
+    return _SCORES[key]
+
+
+MAX_ORGANISMS = 64
+_SCORES: dict[tuple[str, str], homology.Scores] = {}
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> homology.Scores:
     names = AL.organism_names(spark, sf_dir)
     index = {n: i for i, n in enumerate(names)}
-    if len(names) > 64:
-        raise ValueError("scores of more than 64 organisms aren't sent to tasks")
-    subst = np.full((len(names), len(names), 64, 64), scoring.NEVER, np.int64)
+    if len(names) > MAX_ORGANISMS:
+        raise ValueError(f"scores of more than {MAX_ORGANISMS} organisms aren't sent to tasks")
+    subst = np.full((len(names), len(names), 64, 64), scoring.NEVER, np.int32)
     expected = np.zeros((len(names), len(names)))
     ordered = F.array_sort(F.collect_list(F.struct("codon_a", "codon_b", "score")))
     rows = AL._substitutions(spark, sf_dir).groupBy("org_a", "org_b").agg(F.first("expected").alias("expected"), F.transform(ordered, lambda x: x["score"]).alias("scores"))
-    for r in rows.collect():
+    with ThreadPoolExecutor(2) as at_once:
+        pairs = at_once.submit(rows.collect)
+        codons = at_once.submit(SQ.codon_scores(spark, sf_dir).where("class = 'middle'").collect)
+    for r in pairs.result():
         at = index[r.org_a], index[r.org_b]
         subst[at] = np.array(r.scores).reshape(64, 64)
         expected[at] = r.expected or 0.0
     middle = np.zeros((len(names), 64), np.int64)
-    for r in SQ.codon_scores(spark, sf_dir).where("class = 'middle'").collect():
+    for r in codons.result():
         if (k := int(r.organism[1:])) < len(names):
             middle[k, r.codon_idx] = r.score
     return homology.Scores(names, subst, expected, middle)
 
 
-def _run(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = trees.collected(table(spark, sf_dir, "phylo_edge"))
-    return homology.reconstructed(members(spark, sf_dir), scores_of(spark, sf_dir), tree, what)
+    return homology.reconstructed(members(spark, sf_dir), scores_of(spark, sf_dir), tree)
 
 
 @query
 def intron_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6, W7, W8, D17, D18, A19, G1, G2"""
-    return _run(spark, sf_dir, "contexts")
+    return homology.part(_run(spark, sf_dir), "contexts")
 
 
 @query
 def ancestral_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G5, G6, T6, T7, T8, J9, K7, K8"""
-    return _run(spark, sf_dir, "nodes")
+    """Every node's state, and of leaves the sites in the organism's coordinates, their dinucleotides and
+    their distance from the annotation."""
+    return homology.part(_run(spark, sf_dir), "nodes")
 
 
 @query
 def gene_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T9, K9"""
-    return _run(spark, sf_dir, "edits")
+    """T9"""
+    return homology.part(_run(spark, sf_dir), "edits")
 
 
 @query
@@ -105,7 +124,8 @@ def event_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def history_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7, K8: ancestral and history lines."""
+    """K7, K8, K9: ancestral, history and edit lines, context by context."""
     tree = trees.collected(table(spark, sf_dir, "phylo_edge"))
-    nodes = stored(ancestral_states(spark, sf_dir), "nodes")
-    return report_lines.ancestral_lines(nodes, tree).unionByName(report_lines.history_lines(nodes))
+    rows = stored(_run(spark, sf_dir), "history")
+    nodes = homology.part(rows, "nodes")
+    return report_lines.in_order(report_lines.ancestral_lines(nodes, tree), report_lines.history_lines(nodes), report_lines.edit_lines(homology.part(rows, "edits")))

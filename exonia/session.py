@@ -85,11 +85,6 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(other, cond, how).drop(*(f"r_{k}" for k in keys))
 
 
-def cores(spark: SparkSession) -> int:
-    """Partitions for work that is heavy for its size: the cores of the cluster, or the shuffle's partitions if more."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df, with its rows moved to other tasks only where it has fewer splits than there are cores, as one small file has. How many
     tasks is left to adaptive execution, which goes by the bytes."""

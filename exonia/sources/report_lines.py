@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def ancestral_header(tree: list[tuple[str, str | None]]) -> str:
 
 
 def ancestral_lines(nodes: DataFrame, tree: list[tuple[str, str | None]]) -> DataFrame:
-    """A line for each context: in the tree's post-order every node's [phase:]event, then the number of leaves with the intron,
+    """(alignment, ctx, value): a line for each context: in the tree's post-order every node's [phase:]event, then the number of leaves with the intron,
     the alignment and the context."""
     order = F.create_map(*(F.lit(x) for k, (name, _) in enumerate(tree) for x in (name, k)))
     cell = F.concat(F.when(F.col("state") == "intron", F.concat(F.col("phase").cast("string"), F.lit(":"))).otherwise(""), F.col("event"))
@@ -26,22 +28,43 @@ def ancestral_lines(nodes: DataFrame, tree: list[tuple[str, str | None]]) -> Dat
         F.array_sort(F.collect_list(F.struct(order[F.col("node")].alias("k"), cell.alias("cell")))).alias("cells"),
         F.count_if(F.col("is_leaf") & (F.col("state") == "intron")).alias("leaves"),
     )
-    return rows.select(F.concat_ws("\t", F.lit("#ANCESTRAL"), F.transform("cells", lambda x: x["cell"]), F.col("leaves").cast("string"), "alignment", F.concat(F.lit("C"), F.col("ctx").cast("string"))).alias("value"))
+    return rows.select("alignment", "ctx", F.concat_ws("\t", F.lit("#ANCESTRAL"), F.transform("cells", lambda x: x["cell"]), F.col("leaves").cast("string"), "alignment", F.concat(F.lit("C"), F.col("ctx").cast("string"))).alias("value"))
 
 
 def history_lines(nodes: DataFrame) -> DataFrame:
-    """A line for each node: its placement, event and its parent's placement (== where it is the same)."""
+    """(alignment, ctx, node_no, value): a line for each node, in the tree's post-order: its placement (a leaf's in its organism's
+    coordinates), event, its parent's placement (== where it is the same) and its parent; for a leaf with an intron the shifts
+    of its sites from the annotated ones (new: none is annotated) and its dinucleotides; then alignment and context."""
     own = placement(F.col("donor"), F.col("acceptor"), F.col("phase"), F.col("state"))
+    shown = F.when(F.col("own_donor").isNotNull(), placement(F.col("own_donor"), F.col("own_acceptor"), F.col("phase"), F.col("state"))).otherwise(own)
     above = nodes.select("alignment", "ctx", F.col("node").alias("parent"), own.alias("_above"))
     joined = nodes.withColumn("_own", own).join(above, ["alignment", "ctx", "parent"], "left")
     before = F.when(F.coalesce("_above", F.col("_own")) == F.col("_own"), "==").otherwise(F.col("_above"))
     kind = F.when(F.col("is_leaf"), "leaf ").otherwise("node ")
-    return joined.select(F.concat_ws("\t", F.concat(F.lit("#HISTORY "), kind, F.col("node")), "_own", "event", before, "parent").alias("value"))
+    shift = F.when(F.col("donor_shift").isNotNull(), F.format_string("%+d,%+d", "donor_shift", "acceptor_shift")).when(F.col("own_donor").isNotNull(), "new")
+    cells = [F.concat(F.lit("#HISTORY "), kind, F.col("node")), shown, F.col("event"), before, F.col("parent"), shift, F.concat(F.lit("ss:"), F.col("motifs")), F.col("alignment"), F.concat(F.lit("C"), F.col("ctx").cast("string"))]
+    return joined.select("alignment", "ctx", "node_no", F.concat_ws("\t", *cells).alias("value"))
 
 
 def edit_lines(edits: DataFrame) -> DataFrame:
+    """(alignment, ctx, organism, value): a line for each edit, with its alignment and context."""
     at = F.when(F.col("edit").isin("intronify", "exonify"), F.format_string("%d..%d", "donor", "acceptor")).otherwise(F.concat_ws("\t", F.coalesce("donor", "acceptor").cast("string"), F.col("shift").cast("string")))
-    return edits.select(F.concat_ws("\t", F.lit("#REANNOTATE"), "organism", "edit", at).alias("value"))
+    cells = [F.lit("#REANNOTATE"), F.col("organism"), F.col("edit"), at, F.col("alignment"), F.concat(F.lit("C"), F.col("ctx").cast("string"))]
+    return edits.select("alignment", "ctx", "organism", F.concat_ws("\t", *cells).alias("value"))
+
+
+def in_order(ancestral: DataFrame, histories: DataFrame, edits: DataFrame, header: str | None = None) -> DataFrame:
+    """The three reports' lines, context by context, after a header."""
+    none = F.lit(None)
+    parts = [
+        ancestral.select("alignment", "ctx", F.lit(0).alias("part"), none.cast("int").alias("node_no"), none.cast("string").alias("organism"), "value"),
+        histories.select("alignment", "ctx", F.lit(1).alias("part"), "node_no", none.cast("string").alias("organism"), "value"),
+        edits.select("alignment", "ctx", F.lit(2).alias("part"), none.cast("int").alias("node_no"), "organism", "value"),
+    ]
+    if header is not None:
+        parts.append(ancestral.sparkSession.range(1).select(F.lit(header).alias("value")))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.orderBy("alignment", "ctx", "part", "node_no", "organism", "value")
 
 
 def codon_lines(counts: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """Brackets, contexts and reconstruction on alignments whose history is known, and the commands end to end."""
 
+import os
 import random
 
+import duckdb
 import numpy as np
+import pytest
 from exonia import cli
 from exonia.functions.seq import code_by_index
 from exonia.operators import alignment, homology, parsimony, scoring
+from exonia.plans import history as plan
 from pyspark.sql import functions as F
 
 CODE = code_by_index()
@@ -177,9 +181,9 @@ def test_alignments_with_several_sequences_of_an_organism(spark):
             text, exons = gene(PROTEIN, [90 + 3 * (k == 1 and alignment_ == "double")])
             rows.append((alignment_, name, "+", exons, PROTEIN, text, 0))
     df = spark.createDataFrame(rows, "alignment string, organism string, strand string, exons array<struct<start: int, end: int>>, residues string, dna string, origin int")
+    every = homology.reconstructed(df, scores(list("abc")), TREE)
     for what in ("contexts", "nodes"):
-        got = homology.reconstructed(df, scores(list("abc")), TREE, what).collect()
-        assert {r.alignment for r in got} == {"single", "other"}
+        assert {r.alignment for r in homology.part(every, what).collect()} == {"single", "other"}
     assert [tuple(r) for r in homology.doubled(df, list("abc")).collect()] == [("double", "a", 2)]
 
 
@@ -223,9 +227,54 @@ def test_commands_end_to_end(spark, tmp_path):
     nodes = spark.read.parquet(str(tmp_path / "sites/nodes"))
     by = {(r.alignment, r.node): r.event for r in nodes.collect()}
     assert by["og0", "b"] == "Gn" and by["og1", "b"] == "C5,C3"
+    report = read(tmp_path / "sites/report")
+    assert report[0].startswith("#ANCESTRAL\ta\tb\tx") and report[1].endswith("\tog0\tC0")
+    leaf = next(x for x in report if x.startswith("#HISTORY leaf b\t") and "\tog0\t" in x).split("\t")
+    own = next(r for r in nodes.where("alignment = 'og0' and node = 'b'").collect())
+    assert leaf[1] == f"{own.own_donor}..{own.own_acceptor}/{own.phase}" and leaf[5:7] == ["+0,+0", "ss:GT-AG"]
+    assert [x.split("\t")[0] for x in report if x.endswith("\tog0\tC0")] == ["#ANCESTRAL", *(f"#HISTORY {k} {n}" for k, n in (("leaf", "a"), ("leaf", "b"), ("node", "x"), ("leaf", "c"), ("node", "r")))]
     run("count-gaps", genomes, tmp_path / "ann.txt", *alignments, "-o", tmp_path / "gaps")
     gaps = read(tmp_path / "gaps")
     assert "#MATCH\tb/a\t71\t6" in gaps and any(x.startswith("#TALLY\tb\t") for x in gaps)
     run("genomic-context", genomes, tmp_path / "ann.txt", alignments[0], "-o", tmp_path / "context")
     text = "\n".join(read(tmp_path / "context"))
     assert text.count(">") == 3 and "/region=c0:11.." in text
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_histories_of_the_tables_by_sql(spark):
+    """Costs, events and edited genes of every context of the given tables, computed again by SQL from states and exons."""
+    sf = "/root/testdata/sf0.01"
+    tree = plan.trees.collected(plan.table(spark, sf, "phylo_edge"))
+    members = plan.members(spark, sf)
+    every = homology.reconstructed(members, plan.scores_of(spark, sf), tree).persist()
+    con = duckdb.connect()
+    for name in ("nodes", "edits", "contexts"):
+        frame = homology.part(every, name).toPandas()
+        assert len(frame)
+        con.register(name, frame)
+    con.register("genes", members.selectExpr("alignment", "organism", "strand", "transform(exons, e -> e.start) AS s", "transform(exons, e -> e.end) AS e").toPandas())
+    con.execute("""CREATE VIEW branch AS SELECT n.*, p.state AS pstate, p.donor AS pd, p.acceptor AS pa FROM nodes n LEFT JOIN nodes p ON n.alignment = p.alignment AND n.ctx = p.ctx AND n.parent = p.node""")
+    # What the branches cost; the rest of the total is what leaves pay for other than annotated sites: 1 or 2 each.
+    over = con.sql(f"""
+      SELECT alignment, ctx, any_value(cost) - sum(CASE WHEN pstate IS NULL OR state = 'missing' THEN 0 WHEN pstate = 'missing' THEN {23 * len(tree)} WHEN state = 'none' THEN CASE pstate WHEN 'intron' THEN 5 ELSE 0 END
+        WHEN pstate <> 'intron' THEN 12 ELSE 5 * ((donor <> pd)::INT + (acceptor <> pa)::INT) END) AS rest,
+        count(*) FILTER (WHERE is_leaf AND state <> 'missing') AS leaves,
+        sum(CASE WHEN own_donor IS NOT NULL AND donor_shift IS NOT NULL THEN (donor_shift <> 0)::INT + (acceptor_shift <> 0)::INT ELSE 0 END) AS moved
+      FROM branch GROUP BY ALL HAVING rest < moved OR rest > moved + 2 * leaves""").fetchall()
+    assert over == []
+    wrong = con.sql(r"""
+      SELECT * FROM branch WHERE regexp_replace(event, '\(\d+\)', '', 'g') NOT IN (
+        CASE WHEN state = 'missing' THEN 'na' WHEN state = 'none' THEN CASE WHEN pstate = 'intron' THEN 'Ls' ELSE 'NO' END WHEN coalesce(pstate, state) <> 'intron' THEN 'Gn' ELSE
+          CASE WHEN coalesce(pd, donor) = donor THEN 'C5' WHEN (donor - pd) * (acceptor - donor) > 0 THEN 'E5' ELSE 'I5' END || ',' ||
+          CASE WHEN coalesce(pa, acceptor) = acceptor THEN 'C3' WHEN (acceptor - pa) * (acceptor - donor) > 0 THEN 'I3' ELSE 'E3' END END)""").fetchall()
+    assert wrong == []
+    # The first edit of a gene, by exons as sets of bases: an intron that goes adds its bases, one that comes takes them away.
+    first = con.sql("""
+      WITH f AS (SELECT * FROM edits QUALIFY row_number() OVER (PARTITION BY alignment, organism ORDER BY ctx) = 1 AND count(*) OVER (PARTITION BY alignment, organism, ctx) = 1),
+      x AS (SELECT f.*, list_sum(g.e) - list_sum(g.s) AS before, list_sum(string_split(exon_ends, ',')::BIGINT[]) - list_sum(string_split(exon_starts, ',')::BIGINT[]) AS after, len(g.s) AS n, len(string_split(exon_starts, ',')) AS n_after
+        FROM f JOIN genes g ON f.alignment = g.alignment AND f.organism = g.organism)
+      SELECT edit, after - before, CASE edit WHEN 'exonify' THEN abs(acceptor - donor) + 1 WHEN 'intronify' THEN -abs(acceptor - donor) - 1 WHEN 'donor' THEN shift ELSE -shift END AS want,
+        n_after - n, CASE edit WHEN 'exonify' THEN -1 WHEN 'intronify' THEN 1 ELSE 0 END AS want_n FROM x""").fetchall()
+    assert all(got == want and n == want_n for _, got, want, n, want_n in first), first
+    every.unpersist()
