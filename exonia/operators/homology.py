@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -426,10 +426,9 @@ def two_introns_in_a_codon(members: list[Member]) -> bool:
     return False
 
 
-def _members(pdf: pd.DataFrame) -> list[Member]:
-    pdf = pdf.sort_values("organism")
-    as_pairs = lambda exons: [(int(e["start"]), int(e["end"])) for e in exons]
-    return [walk(r.residues, as_pairs(r.exons), r.strand, r.dna, int(r.origin), r.organism) for r in pdf.itertuples()]
+def _members(table: pa.Table) -> list[Member]:
+    rows = sorted(table.to_pylist(), key=lambda r: r["organism"])
+    return [walk(r["residues"], [(e["start"], e["end"]) for e in r["exons"]], r["strand"], r["dna"], r["origin"], r["organism"]) for r in rows]
 
 
 PARTS = {
@@ -496,16 +495,17 @@ def reconstructed(sequences: DataFrame, scores: Scores, tree: list[tuple[str, st
     once = stored(known.groupBy("alignment", "organism").agg(F.min(row).alias("_r"), F.count("*").alias("_n")).select("alignment", "organism", "_r.*", "_n"), "sequences")
     sent = spark.sparkContext.broadcast((scores, tree, penalties))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        members = _members(pdf) if (pdf["_n"] == 1).all() else []
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    schema = pa.schema([("kind", pa.string()), *((name, kinds[kind]) for name, kind in FIELDS.items())])
+
+    def work(table: pa.Table) -> pa.Table:
+        members = _members(table) if set(table["_n"].to_pylist()) == {1} else []
         judged = len(members) > 1 and not two_introns_in_a_codon(members)
-        name = {"alignment": pdf["alignment"].iloc[0]}
-        frame = pd.DataFrame([row | name for row in history(members, *sent.value)] if judged else [], columns=["kind", *FIELDS], dtype=object)
-        frame = frame.where(frame.notna(), None)
-        return frame.astype({name: "Int32" for name, kind in FIELDS.items() if kind == "int"})
+        name = {"alignment": table["alignment"][0].as_py()}
+        return pa.Table.from_pylist([row | name for row in history(members, *sent.value)] if judged else [], schema)
 
     tasks = max(1, -(-once.count() // SEQUENCES_PER_TASK))
-    return once.repartition(tasks, "alignment").groupBy("alignment").applyInPandas(work, ", ".join(["kind string", *(f"{n} {k}" for n, k in FIELDS.items())]))
+    return once.repartition(tasks, "alignment").groupBy("alignment").applyInArrow(work, ", ".join(["kind string", *(f"{n} {k}" for n, k in FIELDS.items())]))
 
 
 def part(rows: DataFrame, kind: str) -> DataFrame:

@@ -169,9 +169,9 @@ def substitution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substitutions(spark, sf_dir).select("org_a", "org_b", "codon_a", "codon_b", "n", "score")
 
 
-def _substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _substitutions(spark: SparkSession, sf_dir: str, null_counts: DataFrame | None = None) -> DataFrame:
     names = organism_names(spark, sf_dir)
-    null = counting.combined(SQ.null_codon_counts(spark, sf_dir))
+    null = counting.combined(null_counts or SQ.null_codon_counts(spark, sf_dir))
     of = F.create_map(*(F.lit(x) for k, n in enumerate(names) for x in (f"o{k}", n)))
     pairs = pair_counts(spark, sf_dir).where("codon_a < 64 and codon_b < 64")
     return scoring.substitution_scores(pairs, null.withColumn("organism", of[F.col("organism")]))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exonia.functions.seq import reverse_complement
-from exonia.operators import genes, homology, scoring, trees
+from exonia.operators import counting, genes, homology, scoring, trees
 from exonia.plans import alignments as AL
 from exonia.plans import sequences as SQ
 from exonia.plans.views import models
@@ -70,10 +70,14 @@ def _scores(spark: SparkSession, sf_dir: str) -> homology.Scores:
     subst = np.full((len(names), len(names), 64, 64), scoring.NEVER, np.int32)
     expected = np.zeros((len(names), len(names)))
     ordered = F.array_sort(F.collect_list(F.struct("codon_a", "codon_b", "score")))
-    rows = AL._substitutions(spark, sf_dir).groupBy("org_a", "org_b").agg(F.first("expected").alias("expected"), F.transform(ordered, lambda x: x["score"]).alias("scores"))
+    # Both parts need the null counts, which are the most work.
+    null = stored(SQ.null_codon_counts(spark, sf_dir), "null_codons")
+    middle_counts = SQ.codon_counts(spark, sf_dir).where("class = 'middle'")
+    codon_scores = scoring.score_table(middle_counts, counting.combined(null), ["organism", "class"], "codon_idx", 64, ["organism"])
+    rows = AL._substitutions(spark, sf_dir, null).groupBy("org_a", "org_b").agg(F.first("expected").alias("expected"), F.transform(ordered, lambda x: x["score"]).alias("scores"))
     with ThreadPoolExecutor(2) as at_once:
         pairs = at_once.submit(rows.collect)
-        codons = at_once.submit(SQ.codon_scores(spark, sf_dir).where("class = 'middle'").collect)
+        codons = at_once.submit(codon_scores.collect)
     for r in pairs.result():
         at = index[r.org_a], index[r.org_b]
         subst[at] = np.array(r.scores).reshape(64, 64)
