@@ -15,6 +15,8 @@ from exonia.session import evaluated
 #: The default lengths (intronic motif, boundary behind it) of donor and acceptor sites.
 DONOR_SIZE, ACCEPTOR_SIZE = (4, 2), (3, 15)
 CLEAN = "^[ACGT]+$"
+#: Windows of one block of a sequence.
+WINDOW_BLOCK = 1 << 14
 
 
 def triplets(s: Column) -> Column:
@@ -104,8 +106,12 @@ def windows(rows: DataFrame, s: Column, k: int, dropped: int = 0) -> DataFrame:
     too short and nulls give none. The sequence is made BINARY once, as a slice of that doesn't walk what is before it."""
     bytes_once = evaluated(rows, _b=F.to_binary(s, F.lit("utf-8")))
     count = F.length("_b") - k + 1 - dropped
-    each = F.transform(F.sequence(F.lit(1), count), lambda i: F.substring("_b", i, F.lit(k)))
-    return bytes_once.where(count > 0).select(*(c for c in rows.columns), F.explode(each).alias("_w")).withColumn("_w", F.col("_w").cast("string"))
+    # Blocks overlap by k - 1, so that each window lies in one of them; the windows of a block are put in one array.
+    size = lambda b: F.least(F.lit(WINDOW_BLOCK), count - b * WINDOW_BLOCK) + k - 1
+    blocks = F.transform(F.sequence(F.lit(0), ((count - 1) / WINDOW_BLOCK).cast("int")), lambda b: F.substring("_b", b * WINDOW_BLOCK + 1, size(b)))
+    cut = bytes_once.where(count > 0).select(*rows.columns, F.explode(blocks).alias("_block"))
+    each = F.transform(F.sequence(F.lit(1), F.length("_block") - k + 1), lambda i: F.substring("_block", i, F.lit(k)))
+    return cut.select(*rows.columns, F.explode(each).alias("_w")).withColumn("_w", F.col("_w").cast("string"))
 
 
 def _null_texts(models: DataFrame, donor: bool, seq: str) -> DataFrame:

@@ -216,7 +216,11 @@ def with_gene(proteins: DataFrame, genes: DataFrame, organism: str = "organism",
     own = known.select(F.col("organism").alias("_org"), F.col(accno).alias("_name"), row.alias("gene_row"))
     any_org = own.groupBy("_name").agg(F.min_by("gene_row", "_org").alias("gene_row")).withColumn("_org", F.lit(None).cast("string"))
     keyed = proteins.withColumns({"_org": F.col(organism), "_name": F.col(name)})
-    return join_null_safe(keyed, own.unionByName(any_org), ["_org", "_name"], "left").drop("_org", "_name")
+    # Those without a name can match nothing, and would all meet at one key.
+    named, others = keyed.where(F.col("_name").isNotNull()), keyed.where(F.col("_name").isNull())
+    found = join_null_safe(named, own.unionByName(any_org), ["_org", "_name"], "left")
+    kind = own.schema["gene_row"].dataType
+    return found.select(*proteins.columns, "gene_row").unionByName(others.select(*proteins.columns, F.lit(None).cast(kind).alias("gene_row")))
 
 
 def models_of(genepred: DataFrame, starts: str = "exonstarts", ends: str = "exonends") -> DataFrame:

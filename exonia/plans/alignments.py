@@ -93,7 +93,7 @@ def with_codons(rows: DataFrame) -> DataFrame:
     return alignment.aligned_codons(evaluated(rows, coding=coding())).select("alignment", "organism", "codons")
 
 
-_ORGANISMS = 9
+_ORGANISMS = "(SELECT count(*) FROM phylo_edge WHERE node_name NOT IN (SELECT parent_name FROM phylo_edge WHERE parent_name IS NOT NULL))"
 CODING = f"""
   choice AS (SELECT * FROM (VALUES {", ".join(f"({v}, '{r}', '{c}')" for (v, r), c in codon_choices().items())}) AS t(v, aa, codon)),
   coding AS (
@@ -116,7 +116,7 @@ _COLUMNS = f"""
 def codon_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The multiset of codon columns of complete alignments."""
     m = members(spark, sf_dir).where("organism is not null and residues is not null")
-    return alignment.codon_columns(alignment.complete(m, _ORGANISMS, with_codons))
+    return alignment.codon_columns(alignment.complete(m, len(organism_names(spark, sf_dir)), with_codons))
 
 
 def organism_names(spark: SparkSession, sf_dir: str) -> list[str]:

@@ -231,6 +231,21 @@ def model_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("row_id", F.inline(edits)).select("row_id", "edit", joined("start", F.col("to")).alias("starts"), joined("end", F.col("to")).alias("ends"))
 
 
+@query(
+    f"""WITH {EXON}, k AS (SELECT row_id, min(eidx) AS at FROM exon WHERE e - s >= 90 GROUP BY row_id),
+  c AS (SELECT x.*, coalesce(x.eidx = k.at, false) AS cut FROM exon x LEFT JOIN k ON x.row_id = k.row_id),
+  b AS (SELECT row_id, eidx * 2 AS eidx, s, CASE WHEN cut THEN s + 30 ELSE e END AS e FROM c UNION ALL SELECT row_id, eidx * 2 + 1, e - 30, e FROM c WHERE cut)
+  SELECT row_id, {LISTS} FROM b GROUP BY row_id"""
+)
+def intronified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An intron put into each model's first exon of 90 or more bases, 30 bases from both ends."""
+    m = evaluated(models(spark, sf_dir), x=F.get(F.filter(ex(), lambda e: e["end"] - e["start"] >= 90), 0))
+    lo, hi = F.col("x.start") + 30, F.col("x.end") - 31
+    d, a = F.when(st() == "-", hi).otherwise(lo), F.when(st() == "-", lo).otherwise(hi)
+    m = m.withColumn("exons", F.when(F.col("x").isNull(), ex()).otherwise(genes.intronify(ex(), st(), d, a)))
+    return m.select("row_id", joined("start").alias("starts"), joined("end").alias("ends"))
+
+
 @query(f"WITH {EXON} SELECT row_id, {LISTS} FROM exon GROUP BY row_id")
 def intronify_exonify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An intron put into each model's first long exon and taken out again leaves the model as it was."""

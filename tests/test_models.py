@@ -167,3 +167,24 @@ def test_too_many_organisms_are_an_error(spark, tmp_path):
     assert len(alignments.organism_names(spark, f"{tmp_path}/1000")) == 1000
     with pytest.raises(ValueError):
         alignments.organism_names(spark, f"{tmp_path}/1001")
+
+
+def test_deep_and_broken_trees(spark):
+    from exonia.operators.trees import rooted
+
+    chain = [("n0", None, None)] + [(f"n{i}", f"n{i - 1}", 0.5) for i in range(1, 1500)]
+    edges = spark.createDataFrame(chain + [("x", "y", 1.0), ("y", "x", 1.0), ("lost", "nobody", 1.0)], "node_name string, parent_name string, branch_length double")
+    got = {r.node_name: r for r in rooted(edges).collect()}
+    assert len(got) == 1500 and got["n1499"].depth == 1499 and got["n1499"].root_distance == 749.5
+    assert [n for n, r in got.items() if r.is_leaf] == ["n1499"]
+    assert rooted(edges.limit(0)).collect() == []
+
+
+def test_windows_of_blocks(spark, monkeypatch):
+    from exonia.operators import counting
+
+    monkeypatch.setattr(counting, "WINDOW_BLOCK", 7)
+    texts = ["ACGTTGCAACGTACGGTNACGTACGTTTACG", "ACG", "AC", "", None, "ACGTACGTA", "ACGTACGTAC"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = sorted((r.i, r._w) for r in counting.windows(df, counting.F.col("s"), 3).collect())
+    assert got == sorted((i, t[j : j + 3]) for i, t in enumerate(texts) if t for j in range(len(t) - 2))
