@@ -162,11 +162,14 @@ _SUBST = (
 
 @query(
     _SUBST
-    + " SELECT org_a, org_b, codon_a::INT AS codon_a, codon_b::INT AS codon_b, n1::BIGINT AS n, (CASE WHEN sa AND sb THEN 0 WHEN sa OR sb THEN -2147483648 WHEN s_to = -2147483648 OR s_from = -2147483648 THEN -2147483648 ELSE least(s_to::BIGINT + s_from, 2147483647) END)::INT AS score FROM g3"
+    + """, g4 AS (SELECT org_a, org_b, codon_a::INT AS codon_a, codon_b::INT AS codon_b, n1::BIGINT AS n, sa OR sb AS stop,
+      (CASE WHEN sa AND sb THEN 0 WHEN sa OR sb THEN -2147483648 WHEN s_to = -2147483648 OR s_from = -2147483648 THEN -2147483648 ELSE least(s_to::BIGINT + s_from, 2147483647) END)::INT AS score FROM g3)
+    SELECT org_a, org_b, codon_a, codon_b, n, score, round(sum(CASE WHEN score <> -2147483648 AND NOT stop THEN n::DOUBLE * score ELSE 0 END) OVER w / sum(CASE WHEN stop THEN 0 ELSE n END) OVER w, 4) AS expected
+    FROM g4 WINDOW w AS (PARTITION BY org_a, org_b)"""
 )
 def substitution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M7"""
-    return _substitutions(spark, sf_dir).select("org_a", "org_b", "codon_a", "codon_b", "n", "score")
+    """M7: with the expected score of each pair of organisms, which decides what an anchor is."""
+    return _substitutions(spark, sf_dir).select("org_a", "org_b", "codon_a", "codon_b", "n", "score", F.round("expected", 4).alias("expected"))
 
 
 def _substitutions(spark: SparkSession, sf_dir: str, null_counts: DataFrame | None = None) -> DataFrame:
