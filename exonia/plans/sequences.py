@@ -201,38 +201,54 @@ def null_motif_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side(True).unionByName(side(False))
 
 
-@query(
-    f"""WITH {GENE}, site5 AS ({_site(True)}), n5 AS ({_null_sql(True)}), m1 AS ({_motif_sql("site5", 4)}), m0 AS ({_motif_sql("n5", 4)}), e1 AS ({_edge_sql("site5", 2)}), e0 AS ({_edge_sql("n5", 2)}),
-  mg AS (SELECT organism, unnest(range(0, 256))::INT AS idx FROM (SELECT DISTINCT organism FROM m1 WHERE motif_idx >= 0)),
+def _site_score_sql(donor: bool) -> str:
+    """SQL: (doc_id, site_no, score) of every donor or acceptor under its organism's model."""
+    m, b = counting.DONOR_SIZE if donor else counting.ACCEPTOR_SIZE
+    never = -2147483648
+    return f"""WITH {GENE}, s5 AS ({_site(donor)}), n5 AS ({_null_sql(donor)}), m1 AS ({_motif_sql("s5", m)}), m0 AS ({_motif_sql("n5", m)}), e1 AS ({_edge_sql("s5", b)}), e0 AS ({_edge_sql("n5", b)}),
+  mg AS (SELECT organism, unnest(range(0, {4**m}))::INT AS idx FROM (SELECT DISTINCT organism FROM m1 WHERE motif_idx >= 0)),
   ms AS (SELECT mg.organism, idx, coalesce(m1.n, 0) AS n1, coalesce(m0.n, 0) AS n0 FROM mg LEFT JOIN m1 ON m1.organism = mg.organism AND m1.motif_idx = idx LEFT JOIN m0 ON m0.organism = mg.organism AND m0.motif_idx = idx),
   mt AS (SELECT *, sum(n1) OVER (PARTITION BY organism) AS t1, sum(n0) OVER (PARTITION BY organism) AS t0 FROM ms),
   mscore AS (SELECT organism, idx, {_score("n1", "n0", "t1", "t0")} AS sc FROM mt),
   eg AS (SELECT organism, place, unnest(range(0, 4))::INT AS idx FROM (SELECT DISTINCT organism, place FROM e1)),
   es AS (SELECT eg.organism, eg.place, idx, coalesce(e1.n, 0) AS n1, coalesce(e0.n, 0) AS n0 FROM eg LEFT JOIN e1 ON e1.organism = eg.organism AND e1.place = eg.place AND e1.nuc_idx = idx LEFT JOIN e0 ON e0.organism = eg.organism AND e0.place = eg.place AND e0.nuc_idx = idx),
   et AS (SELECT *, sum(n1) OVER (PARTITION BY organism, place) AS t1, sum(n0) OVER (PARTITION BY organism, place) AS t0 FROM es),
-  escore AS (SELECT organism, place, idx, {_score("n1", "n0", "t1", "t0")} AS sc FROM et)
-  SELECT s.doc_id, s.i::INT AS site_no, CASE WHEN m.sc IS NULL OR a.sc IS NULL OR b.sc IS NULL OR least(m.sc, a.sc, b.sc) = -2147483648 THEN -2147483648 ELSE least(m.sc::BIGINT + a.sc + b.sc, 2147483647) END::INT AS score
-  FROM site5 s LEFT JOIN mscore m ON m.organism = s.organism AND NOT contains(s.motif, 'N') AND m.idx = {index("s.motif", 4)}
-  LEFT JOIN escore a ON a.organism = s.organism AND a.place = 0 AND a.idx = instr('AGCT', substr(s.edge, 1, 1)) - 1 LEFT JOIN escore b ON b.organism = s.organism AND b.place = 1 AND b.idx = instr('AGCT', substr(s.edge, 2, 1)) - 1"""
-)
-def donor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M9: every donor site under its organism's model."""
+  escore AS (SELECT organism, place, idx, {_score("n1", "n0", "t1", "t0")} AS sc FROM et),
+  placed AS (SELECT doc_id, i, organism, edge, unnest(range(0, {b})) AS place FROM s5),
+  bs AS (SELECT p.doc_id, p.i, sum(e.sc)::BIGINT AS total, bool_or(e.sc IS NULL OR e.sc = {never}) AS bad FROM placed p LEFT JOIN escore e ON e.organism = p.organism AND e.place = p.place AND e.idx = instr('AGCT', substr(p.edge, p.place + 1, 1)) - 1 GROUP BY ALL)
+  SELECT s.doc_id, s.i::INT AS site_no, CASE WHEN m.sc IS NULL OR m.sc = {never} OR bs.bad THEN {never} ELSE least(m.sc::BIGINT + bs.total, 2147483647) END::INT AS score
+  FROM s5 s JOIN bs ON bs.doc_id = s.doc_id AND bs.i = s.i LEFT JOIN mscore m ON m.organism = s.organism AND NOT contains(s.motif, 'N') AND m.idx = {index("s.motif", m)}"""
+
+
+def _scored_sites(spark: SparkSession, sf_dir: str, donor: bool) -> DataFrame:
     g = carried(spark, sf_dir)
-    texts = counting.site_texts(g, True)
-    motifs = scoring.score_table(counting.motif_counts(texts).where("motif_idx >= 0"), counting.null_motif_counts(g, True), ["organism"], "motif_idx", 256)
-    edges = scoring.score_table(counting.edge_counts(texts), counting.null_edge_counts(g, True), ["organism", "place"], "nuc_idx", 4)
-    at = F.transform(genes.introns(F.col("exons"), F.col("strand")), lambda i: i["donor_pos"])
-    forward = ~genes.is_reverse()
-    rows = g.select("doc_id", "organism", "seq", forward.alias("_fw"), F.posexplode(at).alias("_k", "_at"), F.size("exons").alias("_n"))
-    m, b = counting.DONOR_SIZE
+    texts = counting.site_texts(g, donor)
+    m, b = counting.DONOR_SIZE if donor else counting.ACCEPTOR_SIZE
+    motifs = scoring.score_table(counting.motif_counts(texts).where("motif_idx >= 0"), counting.null_motif_counts(g, donor), ["organism"], "motif_idx", 4**m)
+    edges = scoring.score_table(counting.edge_counts(texts), counting.null_edge_counts(g, donor), ["organism", "place"], "nuc_idx", 4)
+    at = F.transform(genes.introns(F.col("exons"), F.col("strand")), lambda i: i["donor_pos" if donor else "acceptor_pos"])
+    # Acceptors are read on the other strand; sites are numbered along the contig.
+    rows = g.select("doc_id", "organism", "seq", genes.is_reverse().alias("_rev"), (genes.is_reverse() != F.lit(donor)).alias("_fw"), F.posexplode(at).alias("_k", "_at"), F.size("exons").alias("_n"))
     sites = rows.select(
-        "doc_id", "organism", F.when(F.col("_fw"), F.col("_k")).otherwise(F.col("_n") - 2 - F.col("_k")).alias("site_no"),
+        "doc_id", "organism", F.when(F.col("_rev"), F.col("_n") - 2 - F.col("_k")).otherwise(F.col("_k")).alias("site_no"),
         counting.read_from(F.col("seq"), F.col("_at"), m, F.col("_fw")).alias("motif"),
         counting.read_from(F.col("seq"), F.col("_at") + F.when(F.col("_fw"), m).otherwise(-m), b, F.col("_fw")).alias("edge"),
     )
     return scoring.site_scores(sites, motifs, edges).select("doc_id", "site_no", "score")
 
 
+@query(_site_score_sql(True))
+def donor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: every donor site under its organism's model."""
+    return _scored_sites(spark, sf_dir, True)
+
+
+@query(_site_score_sql(False))
+def acceptor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: every acceptor site under its organism's model."""
+    return _scored_sites(spark, sf_dir, False)
+
+
 @query(
     f"WITH {GENE}, i2 AS (SELECT organism, left(iseq, 2) AS d, right(iseq, 2) AS a FROM dintron) "
     + "SELECT organism, CASE d WHEN 'GT' THEN 1199 WHEN 'GC' THEN -1092 WHEN 'AT' THEN -1092 ELSE -2147483648 END AS donor_score, CASE a WHEN 'AG' THEN 1195 WHEN 'AC' THEN -795 WHEN 'TG' THEN -795 ELSE -2147483648 END AS acceptor_score, count(*) AS n FROM i2 GROUP BY ALL"
