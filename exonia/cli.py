@@ -182,24 +182,10 @@ def save_edited(spark: SparkSession, edits: DataFrame, aligned: DataFrame, folde
 
 
 def count_gaps(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """Report lines: runs of all pairs of organisms, and tallies of phases."""
+    """Report lines: tallies of phases, and runs and gaps of all pairs of organisms."""
     _, aligned = prepared(spark, a)
     rows = evaluated(aligned, offsets=F.transform(genes.introns(F.col("exons"), F.col("strand")), lambda i: i["cds_offset"]))
-    walked = alignment.placed_introns(rows)
-    pairs = evaluated(alignment.sequence_pairs(walked, ["organism", "residues", "introns"]), states=alignment.gap_states("residues_1", "residues_2"))
-    runs = alignment.run_lengths(pairs.withColumnsRenamed({"organism_1": "org_1", "organism_2": "org_2"}), ["org_1", "org_2"])
-    name = F.create_map(*(F.lit(x) for kv in (("I", "#INSERT"), ("D", "#DELETE"), ("M", "#MATCH")) for x in kv))[F.col("kind")]
-    pair = F.concat(F.col("org_1"), F.lit("/"), F.col("org_2"))
-    no = F.lit(0)
-    lines = runs.select(name.alias("w"), pair.alias("p"), no.alias("side"), no.alias("phase"), F.col("length").alias("v"), F.concat_ws("\t", name, pair, F.col("length").cast("string"), F.col("n").cast("string")).alias("value"))
-    phase = lambda k: F.sum(F.size(F.filter("introns", lambda i: i["phase"] == k))).cast("string")
-    tally = walked.groupBy("organism").agg(F.concat_ws("\t", phase(1), phase(2), phase(3), F.count("*").cast("string")).alias("t"))
-    sides = F.array(*(F.struct(F.lit(k).alias("side"), alignment.gap_distances(F.col("states"), F.col(f"introns_{k}")).alias("d")) for k in (1, 2)))
-    each = pairs.select(F.concat(F.col("organism_1"), F.lit("/"), F.col("organism_2")).alias("p"), F.inline(sides)).select("p", "side", F.inline("d"))
-    ways = each.select("p", "side", "phase", F.inline(F.array(F.struct(F.lit("#UP").alias("w"), F.col("up").alias("v")), F.struct(F.lit("#DOWN").alias("w"), F.col("down").alias("v"))))).where("v is not null")
-    dist = ways.groupBy("w", "p", "side", "phase", "v").agg(F.count("*").alias("n")).select("w", "p", "side", "phase", "v", F.concat_ws("\t", "w", "p", F.format_string("%d.ph%d", "side", "phase"), F.col("v").cast("string"), F.col("n").cast("string")).alias("value"))
-    tallies = tally.select(F.lit("#TALLY").alias("w"), F.col("organism").alias("p"), no.alias("side"), no.alias("phase"), no.alias("v"), F.concat_ws("\t", F.lit("#TALLY"), "organism", "t").alias("value"))
-    return tallies.unionByName(lines).unionByName(dist).orderBy("w", "p", "side", "phase", "v").select("value")
+    return report_lines.in_gap_order(report_lines.gap_lines(alignment.placed_introns(rows)))
 
 
 def genomic_context(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

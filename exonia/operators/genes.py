@@ -133,6 +133,19 @@ def position_of_offset(exons: Column, strand: Column, offset: Column) -> Column:
     return F.when(strand == REVERSE, hit["end"] - 1 - (offset - hit["before"])).otherwise(hit["start"] + offset - hit["before"])
 
 
+def offset_of_position(exons: Column, strand: Column, position: Column) -> Column:
+    """The coding offset of a genomic position; null outside the exons."""
+    within = lambda e: F.when(strand == REVERSE, e["end"] - 1 - position).otherwise(position - e["start"])
+    return F.array_max(F.zip_with(exons, length_before(exons, strand), lambda e, n: F.when((e["start"] <= position) & (position < e["end"]), n + within(e))))
+
+
+def codon_at(coding: Column, exons: Column, strand: Column, position: Column) -> Column:
+    """The three coding bases from a genomic position on, in transcription order and across introns; null outside the exons, for
+    ambiguous bases and where the coding sequence ends before the third."""
+    codon = F.substring(coding, offset_of_position(exons, strand, position) + 1, F.lit(3))
+    return F.when(codon.rlike("^[ACGT]{3}$"), codon)
+
+
 def cds(seq: Column, exons: Column, strand: Column) -> Column:
     """The coding sequence of exons on the same row's sequence, in transcription order."""
     whole = F.array_join(F.transform(exons, lambda e: F.substring(seq, e["start"] + 1, e["end"] - e["start"]).cast("string")), "")

@@ -107,8 +107,8 @@ def site_scores(texts: DataFrame, motif_scores: DataFrame, edge_scores: DataFram
 
 
 def substitution_scores(pairs: DataFrame, null: DataFrame, scale: str = "millibans") -> DataFrame:
-    """(org_a, org_b, codon_a, codon_b, n, score) for all pairs of codons, and `expected`, the mean score of the counted
-    pairs, for each pair of organisms.
+    """(org_a, org_b, codon_a, codon_b, n, own, score) for all pairs of codons, and `expected`, the mean score of the counted
+    pairs, for each pair of organisms. own: the score of codon_a alone.
 
     pairs: (org_a, org_b, codon_a, codon_b, n), null: (organism, codon_idx, n). A pair's score is that of codon_a against
     org_a's null plus that of codon_b given codon_a against org_b's. Stops: 0 for two of them, NEVER for one. Scores of
@@ -128,7 +128,7 @@ def substitution_scores(pairs: DataFrame, null: DataFrame, scale: str = "milliba
     a, b = is_stop("codon_a"), is_stop("codon_b")
     total = F.col("_given").cast("bigint") + F.col("_from")
     score = F.when(a & b, 0).when(a | b, NEVER).when((F.col("_given") == NEVER) | (F.col("_from") == NEVER), NEVER).otherwise(F.least(total, F.lit(ALWAYS))).cast("int")
-    out = scored.select(*orgs, "codon_a", "codon_b", "n", score.alias("score"))
+    out = scored.select(*orgs, "codon_a", "codon_b", "n", F.col("_from").alias("own"), score.alias("score"))
     whole = Window.partitionBy(*orgs)
     counted = F.when((F.col("score") != NEVER) & ~a & ~b, F.col("n") * F.col("score").cast("double")).otherwise(0.0)
     return out.withColumn("expected", F.sum(counted).over(whole) / F.sum(F.when(~a & ~b, F.col("n")).otherwise(0)).over(whole))

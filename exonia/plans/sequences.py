@@ -201,10 +201,9 @@ def null_motif_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side(True).unionByName(side(False))
 
 
-def _site_score_sql(donor: bool) -> str:
-    """SQL: (doc_id, site_no, score) of every donor or acceptor under its organism's model."""
+def _site_tables_sql(donor: bool) -> str:
+    """SQL: counts and scores of donors or acceptors: et with mscore, mt with escore; m1 has the ambiguous motifs too."""
     m, b = counting.DONOR_SIZE if donor else counting.ACCEPTOR_SIZE
-    never = -2147483648
     return f"""WITH {GENE}, s5 AS ({_site(donor)}), n5 AS ({_null_sql(donor)}), m1 AS ({_motif_sql("s5", m)}), m0 AS ({_motif_sql("n5", m)}), e1 AS ({_edge_sql("s5", b)}), e0 AS ({_edge_sql("n5", b)}),
   mg AS (SELECT organism, unnest(range(0, {4**m}))::INT AS idx FROM (SELECT DISTINCT organism FROM m1 WHERE motif_idx >= 0)),
   ms AS (SELECT mg.organism, idx, coalesce(m1.n, 0) AS n1, coalesce(m0.n, 0) AS n0 FROM mg LEFT JOIN m1 ON m1.organism = mg.organism AND m1.motif_idx = idx LEFT JOIN m0 ON m0.organism = mg.organism AND m0.motif_idx = idx),
@@ -213,19 +212,32 @@ def _site_score_sql(donor: bool) -> str:
   eg AS (SELECT organism, place, unnest(range(0, 4))::INT AS idx FROM (SELECT DISTINCT organism, place FROM e1)),
   es AS (SELECT eg.organism, eg.place, idx, coalesce(e1.n, 0) AS n1, coalesce(e0.n, 0) AS n0 FROM eg LEFT JOIN e1 ON e1.organism = eg.organism AND e1.place = eg.place AND e1.nuc_idx = idx LEFT JOIN e0 ON e0.organism = eg.organism AND e0.place = eg.place AND e0.nuc_idx = idx),
   et AS (SELECT *, sum(n1) OVER (PARTITION BY organism, place) AS t1, sum(n0) OVER (PARTITION BY organism, place) AS t0 FROM es),
-  escore AS (SELECT organism, place, idx, {_score("n1", "n0", "t1", "t0")} AS sc FROM et),
+  escore AS (SELECT organism, place, idx, {_score("n1", "n0", "t1", "t0")} AS sc FROM et)"""
+
+
+def _site_score_sql(donor: bool) -> str:
+    """SQL: (doc_id, site_no, score) of every donor or acceptor under its organism's model."""
+    m, b = counting.DONOR_SIZE if donor else counting.ACCEPTOR_SIZE
+    never = -2147483648
+    return f"""{_site_tables_sql(donor)},
   placed AS (SELECT doc_id, i, organism, edge, unnest(range(0, {b})) AS place FROM s5),
   bs AS (SELECT p.doc_id, p.i, sum(e.sc)::BIGINT AS total, bool_or(e.sc IS NULL OR e.sc = {never}) AS bad FROM placed p LEFT JOIN escore e ON e.organism = p.organism AND e.place = p.place AND e.idx = instr('AGCT', substr(p.edge, p.place + 1, 1)) - 1 GROUP BY ALL)
   SELECT s.doc_id, s.i::INT AS site_no, CASE WHEN m.sc IS NULL OR m.sc = {never} OR bs.bad THEN {never} ELSE least(m.sc::BIGINT + bs.total, 2147483647) END::INT AS score
   FROM s5 s JOIN bs ON bs.doc_id = s.doc_id AND bs.i = s.i LEFT JOIN mscore m ON m.organism = s.organism AND NOT contains(s.motif, 'N') AND m.idx = {index("s.motif", m)}"""
 
 
+def site_tables(g: DataFrame, donor: bool) -> tuple[DataFrame, DataFrame]:
+    """The score tables of motifs and of boundaries."""
+    texts = counting.site_texts(g, donor)
+    m = (counting.DONOR_SIZE if donor else counting.ACCEPTOR_SIZE)[0]
+    motifs = scoring.score_table(counting.motif_counts(texts).where("motif_idx >= 0"), counting.null_motif_counts(g, donor), ["organism"], "motif_idx", 4**m)
+    return motifs, scoring.score_table(counting.edge_counts(texts), counting.null_edge_counts(g, donor), ["organism", "place"], "nuc_idx", 4)
+
+
 def _scored_sites(spark: SparkSession, sf_dir: str, donor: bool) -> DataFrame:
     g = carried(spark, sf_dir)
-    texts = counting.site_texts(g, donor)
     m, b = counting.DONOR_SIZE if donor else counting.ACCEPTOR_SIZE
-    motifs = scoring.score_table(counting.motif_counts(texts).where("motif_idx >= 0"), counting.null_motif_counts(g, donor), ["organism"], "motif_idx", 4**m)
-    edges = scoring.score_table(counting.edge_counts(texts), counting.null_edge_counts(g, donor), ["organism", "place"], "nuc_idx", 4)
+    motifs, edges = site_tables(g, donor)
     at = F.transform(genes.introns(F.col("exons"), F.col("strand")), lambda i: i["donor_pos" if donor else "acceptor_pos"])
     # Acceptors are read on the other strand; sites are numbered along the contig.
     rows = g.select("doc_id", "organism", "seq", genes.is_reverse().alias("_rev"), (genes.is_reverse() != F.lit(donor)).alias("_fw"), F.posexplode(at).alias("_k", "_at"), F.size("exons").alias("_n"))

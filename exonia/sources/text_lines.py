@@ -20,14 +20,26 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _intron_lists(own: Column) -> tuple[Column, Column]:
+    """The coding offsets and the lengths of introns as lists; 00 for none."""
+    listed = lambda part: F.when(F.size(own) == 0, "00").otherwise(F.array_join(F.transform(own, lambda i: i[part].cast("string")), ","))
+    return listed("cds_offset"), listed("length")
+
+
+def intron_tags(exons: Column, strand: Column) -> Column:
+    """What a translated gene's defline tells of its introns."""
+    offsets, lengths = _intron_lists(genes.introns(exons, strand))
+    return F.concat(F.lit("{i "), offsets, F.lit(" i} /intron-length="), lengths)
+
+
 def annotation_line(name: Column, exons: str | Column = "exons", strand: str | Column = "strand", chrom: str | Column = "chrom", organism: str | Column = "organism") -> Column:
     """A line of the combined annotation table; null parts are left out of it."""
     ex, st = _col(exons), _col(strand)
     own, length = genes.introns(ex, st), genes.coding_length(ex)
-    listed = lambda part: F.when(F.size(own) == 0, "00").otherwise(F.array_join(F.transform(own, lambda i: i[part].cast("string")), ","))
+    offsets, lengths = _intron_lists(own)
     residues = F.when(length % 3 == 0, (length / 3).cast("int").cast("string")).otherwise((length / F.lit(3.0)).cast("string"))
     ends = lambda part: F.array_join(F.transform(ex, lambda e: e[part].cast("string")), ",")
-    return F.concat_ws("\t", _col(chrom), name, name, F.lit("full"), st, residues, listed("cds_offset"), listed("length"), name, _col(organism), (F.get(ex, 0)["start"] + 1).cast("string"), ends("start"), ends("end"))
+    return F.concat_ws("\t", _col(chrom), name, name, F.lit("full"), st, residues, offsets, lengths, name, _col(organism), (F.get(ex, 0)["start"] + 1).cast("string"), ends("start"), ends("end"))
 
 
 def known_gene_line(name: Column, exons: str | Column = "exons", strand: str | Column = "strand", chrom: str | Column = "chrom") -> Column:
