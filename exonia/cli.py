@@ -159,12 +159,31 @@ def check_sites(spark: SparkSession, a: argparse.Namespace) -> None:
     for what in homology.PARTS:
         homology.part(every, what).write.mode("overwrite").parquet(f"{a.out}/{what}")
     nodes, edits = homology.part(every, "nodes"), homology.part(every, "edits")
-    lines = report_lines.in_order(report_lines.ancestral_lines(nodes, tree), report_lines.history_lines(nodes), report_lines.edit_lines(edits), report_lines.ancestral_header(tree))
+    lines = report_lines.in_order(report_lines.ancestral_lines(nodes, tree), report_lines.history_lines(nodes), report_lines.edit_lines(edits), report_lines.ancestral_header(tree), report_lines.file_lines(edits, a.save) if a.save else None)
     lines.select("value").write.mode("overwrite").text(f"{a.out}/report")
+    if a.showali:
+        dumped(aligned).write.mode("overwrite").text(f"{a.out}/alignments")
     if a.save:
         save_edited(spark, spark.read.parquet(f"{a.out}/edits"), aligned, a.save)
 
 
+def dumped(aligned: DataFrame) -> DataFrame:
+    """Lines of each alignment's genes, introns and columns."""
+    own = genes.introns(F.col("exons"), F.col("strand"))
+    rows = evaluated(
+        aligned.where("residues is not null"), coding=genes.cds(F.col("dna"), F.col("local"), F.col("strand")), offsets=F.transform(own, lambda i: i["cds_offset"]),
+        cut=genes.intron_sequences(F.col("dna"), F.col("local"), F.col("strand")), taken=alignment.positions_where(alignment.letters("residues"), S.is_regular),
+    )
+    walked = alignment.placed_introns(alignment.aligned_codons(rows))
+    no = F.lit(0)
+    parts = [
+        report_lines.gene_lines(rows).select("alignment", no.alias("part"), "seq_idx", no.alias("at"), "value"),
+        report_lines.intron_lines(rows).select("alignment", F.lit(1).alias("part"), "seq_idx", F.col("nth").alias("at"), "value"),
+        report_lines.alignment_lines(walked).select("alignment", F.lit(2).alias("part"), no.alias("seq_idx"), F.col("col").alias("at"), "value"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("alignment", "part", "seq_idx", "at").select("value")
+
+
 def save_edited(spark: SparkSession, edits: DataFrame, aligned: DataFrame, folder: str) -> None:
     """The genes after all edits of their alignment: GFF3 lines by organism, and their proteins."""
     note = F.concat(F.col("edit"), F.lit("("), F.concat_ws("..", F.col("donor").cast("string"), F.col("acceptor").cast("string"), F.col("shift").cast("string")), F.lit(")"))
@@ -218,6 +237,7 @@ def parser() -> argparse.ArgumentParser:
             for option, default in (("loss", 5), ("gain", 12), ("shift", 5), ("annot", 1)):
                 x.add_argument(f"--{option}", type=int, default=default)
             x.add_argument("--save")
+            x.add_argument("--showali", action="store_true", help="also write the alignments' genes, introns and columns")
         x.add_argument("alignments", nargs="+")
         for option, default in (("chromo", 0), ("gene", 2), ("strand", 4), ("organism", 9)):
             x.add_argument(f"--colidx-{option}", type=int, default=default)

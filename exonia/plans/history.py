@@ -29,7 +29,7 @@ def query(f):
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(alignment, organism, strand, exons, residues, dna, origin)"""
+    """(alignment, seq_idx, organism, strand, exons, residues, dna, origin)"""
     ex, st = F.col("exons"), F.col("strand")
     own = models(spark, sf_dir).select(F.col("row_id").alias("gene_row"), "strand", "exons")
     m = AL.members(spark, sf_dir).where("organism is not null and residues is not null").join(own, "gene_row")
@@ -45,7 +45,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.array_join(F.zip_with(exon_texts, intron_texts, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     whole = F.concat(F.rpad(F.lit("A"), F.lit(FLANK), FILLER), text, F.rpad(F.lit("A"), F.lit(FLANK), FILLER))
     dna = F.when(reverse, reverse_complement(whole)).otherwise(whole)
-    return rows.select("alignment", "organism", "strand", "exons", "residues", dna.alias("dna"), (F.get("exons", 0)["start"] - FLANK).alias("origin"))
+    return rows.select("alignment", "seq_idx", "organism", "strand", "exons", "residues", dna.alias("dna"), (F.get("exons", 0)["start"] - FLANK).alias("origin"))
 
 
 def scores_of(spark: SparkSession, sf_dir: str) -> homology.Scores:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from exonia.functions import seq as S
 from exonia.operators import alignment, counting, genes, scoring
 from exonia.plans import alignments as AL
+from exonia.plans import history as HI
 from exonia.plans import models as MD
 from exonia.plans import sequences as SQ
 from exonia.plans.views import INTRON, models
@@ -205,6 +206,16 @@ def gene_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_lines.gene_lines(_aligned(spark, sf_dir).join(deflines, "row_id"))
 
 
+@query(f"""WITH {AL.MEMBER}, v AS (SELECT m.alignment, m.seq_idx, m.org, CASE i.strand WHEN '-' THEN i.n - 2 - i.iidx ELSE i.iidx END AS nth, i.length AS len FROM wmember m JOIN intron i ON i.row_id = m.gene_row),
+  f AS (SELECT *, CASE WHEN len < 4 THEN left('a' || repeat('{HI.FILLER.lower()}', 1), len) ELSE 'gt' || left('a' || repeat('{HI.FILLER.lower()}', (len // {len(HI.FILLER)} + 1)::INT), len - 4) || 'ag' END AS t FROM v)
+  SELECT alignment, seq_idx, nth::INT AS nth, {_lines("'#INTRON'", "seq_idx::VARCHAR", "org", "nth::VARCHAR", "CASE WHEN len > 130 THEN left(t, 60) || '..' || (len - 120)::VARCHAR || '..' || right(t, 60) ELSE t END")} AS value FROM f""")
+def aligned_intron_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The introns of each alignment's genes, cut from their pieces of contig, the middle of long ones left out."""
+    local = F.transform("exons", lambda e: genes.exon(e["start"] - F.col("origin"), e["end"] - F.col("origin")))
+    rows = evaluated(HI.members(spark, sf_dir), cut=genes.intron_sequences(F.col("dna"), local, F.col("strand")))
+    return report_lines.intron_lines(rows)
+
+
 @query(f"""WITH {AL.MEMBER}, {AL.CODING},
   reg AS (SELECT *, regexp_matches(ch, '^[ABCDEFGHIKLMNPQRSTVWXYZ*]$') AS ok FROM res),
   num AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY col) - 1 AS r FROM reg),

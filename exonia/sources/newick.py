@@ -11,7 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Characters for which a name is put in quotes.
 SPECIAL = "'[]{}(),:;#\""
-_TOKEN = re.compile(r"\s+|\[[^\]]*\]|#[^\n]*\n?|(?P<quoted>'(?:[^']|'')*')|(?P<mark>[(),:;])|(?P<word>[^\s()\[\]',:;#]+)|(?P<bad>.)", re.S)
+_END = r"[\s(),:;]|\Z"
+
+
+def _token(relaxed: bool) -> re.Pattern:
+    """Tokens. A quote is doubled within a quoted name; relaxed, a single one is part of it too unless the name can end there."""
+    stray = lambda q: f"|{q}(?!{q}|{_END})" if relaxed else ""
+    quoted = "|".join(f"{q}(?:{q}{q}|[^{q}]{stray(q)})*{q}" for q in ("'", '"'))
+    return re.compile(rf"\s+|\[[^\]]*\]|#[^\n]*\n?|(?P<quoted>{quoted})|(?P<mark>[(),:;])|(?P<word>[^\s()\[\]'\",:;#]+)|(?P<bad>.)", re.S)
+
+
+_TOKENS = {relaxed: _token(relaxed) for relaxed in (True, False)}
+_NUMBER = re.compile(r"NaN|[+-]?Inf|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 SCHEMA = "tree int, postorder int, node_name string, parent_name string, branch_length double, parent_order int"
 
 
@@ -22,12 +33,13 @@ class Node:
     children: list[Node] = field(default_factory=list)
 
 
-def tokens(text: str) -> list[tuple[str, str, int]]:
+def tokens(text: str, relaxed: bool = True) -> list[tuple[str, str, int]]:
     out = []
-    for m in _TOKEN.finditer(text):
+    for m in _TOKENS[relaxed].finditer(text):
         kind = m.lastgroup
         if kind == "bad":
-            raise ValueError(f"{'a comment or quote is not closed' if m.group() in '[' + chr(39) else 'unexpected character'} at {m.start()}")
+            what = "a comment or quote is not closed" if m.group() in ("[", "'", '"') else "unexpected character"
+            raise ValueError(f"{what} at {m.start()}")
         if kind:
             out.append((kind, m.group(), m.start()))
     return out
@@ -35,10 +47,11 @@ def tokens(text: str) -> list[tuple[str, str, int]]:
 
 def trees(text: str, relaxed: bool = True) -> list[Node]:
     """The trees of a text, each ended by a semicolon. Comments are in brackets or from # to the end of the line; in bare
-    names _ stands for a blank. A node may be named before and after its children; then both names are joined."""
-    items, at, out = tokens(text), 0, []
+    names _ stands for a blank; names with marks are in single or double quotes. A node may be named before and after its
+    children; then both names are joined. Not relaxed: two names are an error, and so is a quote that isn't doubled."""
+    items, at, out = tokens(text, relaxed), 0, []
     while at < len(items):
-        node, at = _node(items, at)
+        node, at = _node(items, at, relaxed)
         if at >= len(items) or items[at][1] != ";":
             _fail(items, at, "; expected")
         at += 1
@@ -52,33 +65,35 @@ def _fail(items, at: int, what: str) -> NoReturn:
 
 def _name(items, at: int) -> tuple[str | None, int]:
     if at < len(items) and items[at][0] == "quoted":
-        return items[at][1][1:-1].replace("''", "'"), at + 1
+        q = items[at][1][0]
+        return items[at][1][1:-1].replace(q + q, q), at + 1
     if at < len(items) and items[at][0] == "word":
         return items[at][1].replace("_", " "), at + 1
     return None, at
 
 
-def _node(items, at: int) -> tuple[Node, int]:
+def _node(items, at: int, relaxed: bool) -> tuple[Node, int]:
     """node := name? ("(" node ("," node)* ")" name?)? (":" number)?"""
     node = Node()
     before, at = _name(items, at)
     after = None
     if at < len(items) and items[at][1] == "(":
         while True:
-            child, at = _node(items, at + 1)
+            child, at = _node(items, at + 1, relaxed)
             node.children.append(child)
             if at >= len(items) or items[at][1] not in ",)":
                 _fail(items, at, ", or ) expected")
             if items[at][1] == ")":
                 break
         after, at = _name(items, at + 1)
+        if after is not None and before is not None and not relaxed:
+            _fail(items, at - 1, "a second name")
     node.name = " && ".join(x for x in (before, after) if x is not None) if before is not None or after is not None else None
     if at < len(items) and items[at][1] == ":":
         at += 1
-        try:
-            node.length = float(items[at][1])
-        except (IndexError, ValueError):
+        if at >= len(items) or not _NUMBER.fullmatch(items[at][1]):
             _fail(items, at, "a number expected")
+        node.length = float(items[at][1])
         at += 1
     return node, at
 

@@ -55,14 +55,23 @@ def edit_lines(edits: DataFrame) -> DataFrame:
     return edits.select("alignment", "ctx", "organism", F.concat_ws("\t", *cells).alias("value"))
 
 
-def in_order(ancestral: DataFrame, histories: DataFrame, edits: DataFrame, header: str | None = None) -> DataFrame:
-    """The three reports' lines, context by context, after a header."""
+def file_lines(edits: DataFrame, folder: str) -> DataFrame:
+    """(alignment, ctx, organism, value): for each edited gene where it was written, placed behind its last edit."""
+    at = lambda kind: F.concat(F.lit(f"{folder}/{kind}/organism="), F.col("organism"))
+    last = edits.groupBy("alignment", "organism").agg(F.max("ctx").alias("ctx"))
+    return last.select("alignment", "ctx", "organism", F.concat_ws("\t", F.lit("#FILE"), "organism", "alignment", at("fasta"), at("gff")).alias("value"))
+
+
+def in_order(ancestral: DataFrame, histories: DataFrame, edits: DataFrame, header: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """The reports' lines, context by context, after a header."""
     none = F.lit(None)
     parts = [
         ancestral.select("alignment", "ctx", F.lit(0).alias("part"), none.cast("int").alias("node_no"), none.cast("string").alias("organism"), "value"),
         histories.select("alignment", "ctx", F.lit(1).alias("part"), "node_no", none.cast("string").alias("organism"), "value"),
         edits.select("alignment", "ctx", F.lit(2).alias("part"), none.cast("int").alias("node_no"), "organism", "value"),
     ]
+    if files is not None:
+        parts.append(files.withColumn("part", F.lit(3)))
     if header is not None:
         parts.append(ancestral.sparkSession.range(1).select(F.lit(header).alias("value")))
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -80,8 +89,9 @@ def histogram_lines(histogram: DataFrame) -> DataFrame:
 
 
 def elided(sequence: Column, kept: int = 60) -> Column:
-    """A sequence with what is more than `kept` from both ends left out."""
-    return F.when(F.length(sequence) > 2 * kept, F.concat(F.left(sequence, F.lit(kept)), F.lit("..."), F.right(sequence, F.lit(kept)))).otherwise(sequence)
+    """A sequence in lower case; of one that is longer than 2 * kept + 10 the ends, with the number of bases left out between."""
+    low, left_out = F.lower(sequence), F.length(sequence) - 2 * kept
+    return F.when(left_out > 10, F.concat(F.left(low, F.lit(kept)), F.lit(".."), left_out.cast("string"), F.lit(".."), F.right(low, F.lit(kept)))).otherwise(low)
 
 
 def decimal(n: Column, total: Column, places: int = 0) -> Column:
@@ -238,6 +248,13 @@ def gene_lines(members: DataFrame) -> DataFrame:
     return members.select("alignment", "seq_idx", F.concat_ws("\t", F.lit("#GENE"), F.col("seq_idx").cast("string"), F.concat(F.lit("organism "), F.col("organism")), about, F.concat(F.lit("defline "), F.col("defline"))).alias("value"))
 
 
+def intron_lines(members: DataFrame) -> DataFrame:
+    """(alignment, seq_idx, nth, value): a line for each intron of each aligned sequence's gene, in ascending order of position;
+    members with `cut`, the introns' sequences."""
+    rows = members.select("alignment", "seq_idx", "organism", F.posexplode("cut").alias("nth", "_s"))
+    return rows.select("alignment", "seq_idx", "nth", F.concat_ws("\t", F.lit("#INTRON"), F.col("seq_idx").cast("string"), "organism", F.col("nth").cast("string"), elided(F.col("_s"))).alias("value"))
+
+
 def alignment_lines(walked: DataFrame) -> DataFrame:
     """(alignment, col, value): a line for each column of an alignment, with a cell for each sequence in their order: position of
     the codon, codon and residue, and the phase of an intron. walked: (alignment, seq_idx, strand, exons, codons, introns,

@@ -223,7 +223,7 @@ def test_commands_end_to_end(spark, tmp_path):
     (tmp_path / "ann.txt").write_text("\n".join("#" + x if x.startswith("seq\t") else x for x in lines) + "\n")
     run("collect-statistics", genomes, tmp_path / "ann.txt", *alignments, "-o", tmp_path / "model.txt")
     assert (tmp_path / "model.txt").read_text().endswith("#END\n")
-    run("check-sites", genomes, tmp_path / "ann.txt", tmp_path / "model.txt", tmp_path / "t.tre", *alignments, "--loss", 20, "-o", tmp_path / "sites", "--save", tmp_path / "saved")
+    run("check-sites", genomes, tmp_path / "ann.txt", tmp_path / "model.txt", tmp_path / "t.tre", *alignments, "--loss", 20, "-o", tmp_path / "sites", "--save", tmp_path / "saved", "--showali")
     nodes = spark.read.parquet(str(tmp_path / "sites/nodes"))
     by = {(r.alignment, r.node): r.event for r in nodes.collect()}
     assert by["og0", "b"] == "Gn" and by["og1", "b"] == "C5,C3"
@@ -233,9 +233,16 @@ def test_commands_end_to_end(spark, tmp_path):
     own = next(r for r in nodes.where("alignment = 'og0' and node = 'b'").collect())
     assert leaf[1] == f"{own.own_donor}..{own.own_acceptor}/{own.phase}" and leaf[5:7] == ["+0,+0", "ss:GT-AG"]
     assert [x.split("\t")[0] for x in report if x.endswith("\tog0\tC0")] == ["#ANCESTRAL", *(f"#HISTORY {k} {n}" for k, n in (("leaf", "a"), ("leaf", "b"), ("node", "x"), ("leaf", "c"), ("node", "r")))]
+    shown = read(tmp_path / "sites/alignments")
+    assert sum(x.startswith("#GENE\t") for x in shown) == 18 and any(x.startswith("#ALIGNMENT\t0\t") and len(x.split("\t")) == 5 for x in shown)
+    assert all(x.split("\t")[4].startswith("gt") and x.endswith("ag") and "..281.." in x for x in shown if x.startswith("#INTRON"))
+    edited = {tuple(x.split("\t")[1:5:3]) for x in report if x.startswith("#REANNOTATE\t")}
+    assert {(x.split("\t")[1]) for x in report if x.startswith("#FILE\t")} == {o for o, _ in edited}
     run("count-gaps", genomes, tmp_path / "ann.txt", *alignments, "-o", tmp_path / "gaps")
     gaps = read(tmp_path / "gaps")
     assert "#MATCH\tb/a\t71\t6" in gaps and any(x.startswith("#TALLY\tb\t") for x in gaps)
+    own = [x.split("\t") for x in gaps if x.startswith("#MATCH\tb/a\t")]
+    assert gaps[0].startswith("#TALLY\ta") and [x[2] for x in own] == [*sorted((x[2] for x in own[:-1]), key=int), "total"] and int(own[-1][3]) == sum(int(x[3]) for x in own[:-1])
     run("genomic-context", genomes, tmp_path / "ann.txt", alignments[0], "-o", tmp_path / "context")
     text = "\n".join(read(tmp_path / "context"))
     assert text.count(">") == 3 and "/region=c0:11.." in text

@@ -130,7 +130,11 @@ def test_newick_round_trip(spark, tmp_path):
     assert [e[:3] for e in newick.edges(again)] == [e[:3] for e in newick.edges(first)]
     assert second.length == 2 and newick.trees("pre(a,b)post;")[0].name == "pre && post"
     assert newick.trees("(,);")[0].children[0].name is None
-    for bad in ("(a,b;", "(a,b)", "(a:x,b);", "'open", "(a,[b);"):
+    assert [n.name for n in newick.trees("('d'Or':1,\"x'y\",'',\"e\"\"f\")r;")[0].children] == ["d'Or", "x'y", "", 'e"f']
+    for bad in ("pre(a,b)post;", "('d'Or':1,b);"):
+        with pytest.raises(ValueError):
+            newick.trees(bad, relaxed=False)
+    for bad in ("(a,b;", "(a,b)", "(a:x,b);", "'open", "(a,[b);", "(a:1_0,b);", '"open'):
         with pytest.raises(ValueError):
             newick.trees(bad)
     path = tmp_path / "t.tre"
