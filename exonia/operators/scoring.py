@@ -40,8 +40,11 @@ def score_table(counts: DataFrame, null: DataFrame, group: list[str], outcome: s
     counts and null have (group..., outcome, n) with each outcome once; null may have fewer group columns. Groups of
     counts without null counts have n0 0. Tables of counts are small; those without rows give none."""
     shared = group if null_group is None else null_group
-    dense = counts.select(*group).distinct().withColumn(outcome, F.explode(F.sequence(F.lit(0), F.lit(outcomes - 1))))
-    both = join_null_safe(dense, counts.select(*group, outcome, F.col("n").alias("n1")), [*group, outcome], "left")
+    # Counts are gathered, at most `outcomes` a group, instead of joined to a grid, so that they are made only once.
+    entry = F.struct(F.col(outcome).cast("int").alias("k"), F.col("n").alias("v"))
+    maps = counts.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.when(F.col(outcome).isNotNull(), entry))).alias("_m"))
+    dense = maps.select(*group, "_m", F.explode(F.sequence(F.lit(0), F.lit(outcomes - 1))).alias(outcome))
+    both = dense.select(*group, outcome, F.try_element_at("_m", F.col(outcome)).alias("n1"))
     both = join_null_safe(both, null.select(*shared, outcome, F.col("n").alias("n0")), [*shared, outcome], "left").fillna(0, ["n1", "n0"])
     per = Window.partitionBy(*group)
     return both.select(*group, outcome, "n1", "n0", log_odds(F.col("n1"), F.col("n0"), F.sum("n1").over(per), F.sum("n0").over(per), scale).alias("score"))

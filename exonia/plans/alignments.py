@@ -11,7 +11,7 @@ from exonia.operators import alignment, counting, genes, scoring
 from exonia.plans import sequences as SQ
 from exonia.plans.models import _GENE_OF
 from exonia.plans.views import INTRON, models
-from exonia.session import evaluated, few, table
+from exonia.session import evaluated, few, stored, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -176,7 +176,8 @@ def _substitutions(spark: SparkSession, sf_dir: str, null_counts: DataFrame | No
     names = organism_names(spark, sf_dir)
     null = counting.combined(null_counts or SQ.null_codon_counts(spark, sf_dir))
     of = F.create_map(*(F.lit(x) for k, n in enumerate(names) for x in (f"o{k}", n)))
-    pairs = pair_counts(spark, sf_dir).where("codon_a < 64 and codon_b < 64")
+    # At most 4,096 rows a pair of organisms, which the scores read three times.
+    pairs = stored(pair_counts(spark, sf_dir).where("codon_a < 64 and codon_b < 64"), "pairs")
     return scoring.substitution_scores(pairs, null.withColumn("organism", of[F.col("organism")]))
 
 
