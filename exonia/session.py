@@ -53,13 +53,13 @@ def _path(spark: SparkSession, folder: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: cuts the lineage and outlives lost executors.
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """df written once as Parquet, with these options, in the shared folder and read again: cuts the lineage and outlives lost executors.
 
     The folder is removed by discard(), at the latest when the driver's JVM ends."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.options(**(options or {})).parquet(folder)
     fs, path = _path(spark, folder)
     fs.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(folder)

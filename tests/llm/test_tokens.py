@@ -1,9 +1,11 @@
 """Words, encoding and decoding against the tokenizer itself."""
 
+import glob
 import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Row
 
@@ -86,6 +88,29 @@ def test_the_other_vocabulary(spark):
     assert {r.doc_id: r.text for r in encoding.decoded(ids, tokenizer="byte_bpe_multi_50k").collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_blocks_are_small_rows_in_small_row_groups(spark, tmp_path):
+    r = random.Random(7)
+    texts = ["".join(r.choices("abcdefghijklmnop", k=1 << 20)) for _ in range(40)]
+    pq.write_table(pa.table({"doc_id": range(40), "text": texts}), tmp_path / "long.parquet")
+    blocks = encoding.word_blocks(spark.read.parquet(str(tmp_path)).coalesce(1), "doc_id", "text", block_words=1)
+    groups = [g for f in glob.glob(f"{blocks._stored_in}/*.parquet") for m in [pq.read_metadata(f)] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) == blocks.select("block").distinct().count() > 4
+    assert max(g.total_byte_size for g in groups) <= 24 << 20 < sum(g.total_byte_size for g in groups)
+    blocks = encoding.word_blocks(spark.createDataFrame([(1, "".join(r.choices([" aa", " b", " c", " dd"], k=200_000)))], SCHEMA), "doc_id", "text")
+    assert [len(x.codes) < 100_000 for x in blocks.collect()] == [True]
+    with pytest.raises(Exception, match="null item"):
+        encoding.decoded(spark.createDataFrame([(1, [0, None])], "doc_id long, ids array<int>")).collect()
+
+
+def test_more_words_than_sixteen_bits_count(spark):
+    named = [" " + "".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(70_000)]
+    docs = spark.createDataFrame([(1, "".join(named)), (2, "".join(named[::-1]))], SCHEMA).coalesce(1)
+    ids = encoding.encoded(docs)
+    encode = reference()
+    assert {x.doc_id: x.ids for x in ids.collect()} == {1: encode("".join(named)), 2: encode("".join(named[::-1]))}
+    assert {x.doc_id: x.text for x in encoding.decoded(ids).collect()} == {1: "".join(named), 2: "".join(named[::-1])}
+
+
 def test_sizes(spark):
     encode = reference()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], SCHEMA)
